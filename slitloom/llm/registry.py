@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import simhash
+from . import bestfit, bitpack, fertility, simhash
 
-_MODULES = (simhash,)
+_MODULES = (bitpack, bestfit, fertility, simhash)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
