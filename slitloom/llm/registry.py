@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, bitpack, fertility, simhash
+from . import bestfit, bitpack, chaining, decontaminate, fertility, simhash
 
-_MODULES = (bitpack, bestfit, fertility, simhash)
+_MODULES = (bitpack, bestfit, fertility, decontaminate, simhash, chaining)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

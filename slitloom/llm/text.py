@@ -21,9 +21,9 @@ _SLAB = 1 << 20
 _rng = np.random.default_rng(0x51173)
 _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 
-_WORD = np.zeros(256, bool)
+WORD = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
-    _WORD[_a:_b] = True
+    WORD[_a:_b] = True
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
@@ -112,7 +112,7 @@ def words(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.n
     if isinstance(col, pa.ChunkedArray):
         col = pa.concat_arrays(col.chunks) if col.num_chunks else pa.array([], pa.large_string())
     raw, offsets = buffers(pc.utf8_lower(pc.fill_null(col.cast(pa.large_string()), "")))
-    start, end = spans(raw, offsets, _WORD)
+    start, end = spans(raw, offsets, WORD)
     return span_hashes(raw, start, end), np.searchsorted(start, offsets), start, end, raw
 
 
