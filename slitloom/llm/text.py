@@ -24,8 +24,8 @@ _TABLE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64)
 WORD = np.zeros(256, bool)
 for _a, _b in ((48, 58), (65, 91), (97, 123), (128, 256)):
     WORD[_a:_b] = True
-_SPACE = np.zeros(256, bool)
-_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 
 _powers = np.ones(1, np.uint64)
 _inverse = np.ones(1, np.uint64)
