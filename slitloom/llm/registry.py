@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bestfit, bitpack, captures, chaining, decontaminate, fertility, resample, sharding, simhash
+from . import bestfit, bitpack, captures, chaining, decontaminate, fertility, resample, sharding, simhash, suffixes
 
-_MODULES = (resample, captures, bitpack, bestfit, fertility, decontaminate, simhash, sharding, chaining)
+_MODULES = (resample, suffixes, captures, bitpack, bestfit, fertility, decontaminate, simhash, sharding, chaining)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
