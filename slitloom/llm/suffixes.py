@@ -193,7 +193,9 @@ SCHEMA = "doc_id bigint, start_word int, end_word int, source_id bigint"
 
 
 def _runs(batch: pa.RecordBatch, length: int) -> pa.RecordBatch | None:
-    """(hash, doc_id, start, many): runs start..start+many of a text have this least shingle."""
+    """(hash, doc_id, start, many, again): runs start..start+many of a text have
+    this least shingle; `again` says that the text has it at several places, so
+    that these runs may be alike themselves."""
     h, first, *_ = T.words(batch.column("text"))
     g, at = T.shingles(h, first, K)
     w = length - K + 1
@@ -208,27 +210,33 @@ def _runs(batch: pa.RecordBatch, length: int) -> pa.RecordBatch | None:
     new = np.flatnonzero(np.r_[True, (low[1:] != low[:-1]) | (owner[1:] != owner[:-1])])
     many = np.diff(np.append(new, len(low)))
     owner = owner[new]
+    salt = T.mix(np.arange(len(first), dtype=np.uint64))
+    key = np.sort(g ^ salt[own])
+    twice = T.distinct(key[1:][key[1:] == key[:-1]])
+    mine = low[new] ^ salt[owner]
+    again = np.zeros(len(new), bool)
+    if len(twice):
+        again = twice[np.minimum(np.searchsorted(twice, mine), len(twice) - 1)] == mine
     return pa.RecordBatch.from_arrays(
-        [pa.array(T.signed(low[new])), batch.column("doc_id").take(pa.array(owner)), pa.array((place[new] - first[owner]).astype(np.int32)), pa.array(many.astype(np.int32))], ["hash", "doc_id", "start", "many"]
+        [pa.array(T.signed(low[new])), batch.column("doc_id").take(pa.array(owner)), pa.array((place[new] - first[owner]).astype(np.int32)), pa.array(many.astype(np.int32)), pa.array(again)], ["hash", "doc_id", "start", "many", "again"]
     )
 
 
-def _homes(runs: DataFrame, n: int, length: int) -> DataFrame:
+def _homes(runs: DataFrame, n: int) -> DataFrame:
     """(doc_id, home, start, many) of the runs whose shingle is least in two places or more."""
-    w = length - K + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple | None = None  # the first row of the shingle at hand
         sent = False
         for batch in batches:
-            col = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "doc_id", "start", "many")]
+            col = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("hash", "doc_id", "start", "many", "again")]
             m = len(col[0])
             if not m:
                 continue
             start = np.r_[True, col[0][1:] != col[0][:-1]]
             begin = np.flatnonzero(start)
             size = np.diff(np.append(begin, m))
-            goes = np.repeat(size > 1, size) | (col[3] > w)
+            goes = np.repeat(size > 1, size) | col[4]
             home = np.repeat(col[1][begin], size)
             extra: list[tuple] = []
             if held is not None and held[0] == col[0][0]:
@@ -373,8 +381,8 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
         zero = pa.array(np.zeros(len(size), np.int32))
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), zero, pa.nulls(len(size), pa.int64()), zero, pa.array(size), payload], _NAMES)
 
-    runs = map_text(plain, lambda b: _runs(b, length), "hash bigint, doc_id bigint, start int, many int")
-    requests = stored(_stretches(_homes(runs, n, length), n, length), "stretches")
+    runs = map_text(plain, lambda b: _runs(b, length), "hash bigint, doc_id bigint, start int, many int, again boolean")
+    requests = stored(_stretches(_homes(runs, n), n, length), "stretches")
     found = _found(_spelt(requests, map_text(plain, spell, _ROW), n), n, length)
     own = Window.partitionBy("doc_id").orderBy("start_word", "end_word", "source_id")
     before = F.max("end_word").over(own.rowsBetween(Window.unboundedPreceding, -1))
