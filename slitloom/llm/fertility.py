@@ -128,7 +128,7 @@ def bands(rows: DataFrame) -> DataFrame:
     left out."""
     values = _stacked(rows)
     centre = stored(_median(values.withColumn("v", F.round(F.col("x") * _STEP))).withColumnRenamed("v", "centre"), "centres")
-    off = values.join(centre, _CELL).withColumn("v", F.round(F.abs(F.col("x") * _STEP - F.col("centre")) / F.sqrt(1 + HALF / F.col("tokens"))))
+    off = values.join(centre, _CELL).withColumn("v", F.round(F.abs(F.col("x") * _STEP - F.col("centre")) / F.sqrt(1 + HALF / F.greatest(F.col("tokens"), F.lit(1)))))
     spread = _median(off).drop("docs")
     floor = F.element_at(F.create_map(*(F.lit(y) for x in FLOOR.items() for y in x)), F.col("metric"))
     named = centre.where(F.col("docs") >= LEAST).join(spread, _CELL)
@@ -162,7 +162,7 @@ def judged(docs: DataFrame, folder: str = V.TOKENIZER_DIR, width: float = WIDTH)
     for metric, both in _TWO_SIDED.items():
         name = F.concat_ws(":", F.lit(metric), F.col("octave") if metric == "entropy" else F.lit("0"))
         limit = F.coalesce(F.try_element_at("band_limits", name), F.try_element_at("wide_limits", name))
-        z = (F.col(metric) - limit["centre"]) / (limit["spread"] * F.sqrt(1 + HALF / F.col("n_tokens")))
+        z = (F.col(metric) - limit["centre"]) / (limit["spread"] * F.sqrt(1 + HALF / F.greatest(F.col("n_tokens"), F.lit(1))))
         ok = ok & F.coalesce((F.abs(z) if both else z) < width, F.lit(True))
     return out.select("doc_id", "band", "n_tokens", "chars_per_token", "byte_share", "entropy", ok.alias("kept"))
 
