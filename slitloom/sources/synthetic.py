@@ -121,7 +121,7 @@ def truth(s: ScanSettings) -> dict[str, np.ndarray]:
         walk[i] = 0.6 * walk[i - 1] + rng.normal(0, 0.8)
     cloud = np.ones(s.frames)
     if s.cloud:
-        cloud = 1 - 0.18 * N.smooth(np.abs(rng.normal(0, 1, s.frames)), 6) * (N.smooth(rng.normal(0, 1, s.frames), 40) > 0)
+        cloud = 1 - 0.18 * N.smooth(np.abs(rng.normal(0, 1, s.frames)), 2) * (N.smooth(rng.normal(0, 1, s.frames), 12) > 0)
     rows = np.ones(s.height)
     if s.dust:
         for _ in range(14):
@@ -151,7 +151,7 @@ def render(s: ScanSettings, frames: np.ndarray, known: dict[str, np.ndarray]) ->
         off = x[None] - centre[:, None] - known["flex"][t] - (sun.velocity(u, v)[:, None] if s.doppler else 0)
         narrow, wide = np.exp(-0.5 * (off / 2.3) ** 2), np.exp(-0.5 * (off / 13.0) ** 2)
         quiet = cont[:, None] * (1 - 0.82 * (0.55 * narrow + 0.45 * wide))
-        glow = (core - cont * 0.9)[:, None] * 0.18 * narrow
+        glow = (core - cont)[:, None] * 0.18 * narrow
         spectrum = np.maximum(quiet + glow, 0) * known["transparency"][t] * known["row_gain"][:, None]
         counts = 30000 * s.exposure * spectrum + 200
         if s.noise:
