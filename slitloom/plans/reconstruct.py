@@ -165,6 +165,7 @@ class Geometry:
     height: int
     width: int
     continuum: float
+    level: float
 
 
 def geometries(frames: DataFrame, baseline: bool = False) -> tuple[dict[str, Geometry], dict[str, np.ndarray]]:
@@ -178,7 +179,7 @@ def geometries(frames: DataFrame, baseline: bool = False) -> tuple[dict[str, Geo
         if line is None:
             continue
         room = min(float(line.centre(np.arange(line.first, line.last + 1)).min()), img.shape[1] - 1 - float(line.centre(np.arange(line.first, line.last + 1)).max()))
-        found[row["scan_id"]] = Geometry(line, S.row_sigmas(img, line), *img.shape, min(25.0, room - 3))
+        found[row["scan_id"]] = Geometry(line, S.row_sigmas(img, line), *img.shape, min(25.0, room - 3), N.percentile(img.max(1), 80))
         images[row["scan_id"]] = img
     return found, images
 
@@ -267,8 +268,8 @@ def profiles(frames: DataFrame, found: dict[str, Geometry], dy: dict[str, np.nda
             got = fit(scan, number[keep], cube[keep])
             if got is None:
                 return None
-            lit = got["cont"][:, ::4] > 0.25 * N.percentile(got["cont"], 80)
-            r = np.where(lit[..., None], got["residual"][:, ::4] / np.maximum(got["cont"][:, ::4, None], 1), 0)
+            lit = got["cont"][:, ::4] > 0.25 * found[scan].level
+            r = np.where(lit[..., None], got["residual"][:, ::4] / found[scan].level, 0).astype(float)
             m = r.shape[-1]
             out = np.zeros((len(number), m * m + m + 1))
             out[keep] = np.concatenate([np.einsum("thm,thn->tmn", r, r).reshape(len(r), -1), r.sum(1), lit.sum(1)[:, None]], 1)
@@ -278,6 +279,7 @@ def profiles(frames: DataFrame, found: dict[str, Geometry], dy: dict[str, np.nda
             return pd.DataFrame({"scan_id": [pdf["scan_id"].iloc[0]], "sums": [np.sum(np.stack(pdf["sums"].to_list()).astype(float), 0)]})
 
         sums = per_frame(frames, scatter, "scan_id string, frame int, sums array<float>")
+        # sums in single precision of values below 1: the directions are stable to 1e-5
         for row in sums.groupBy("scan_id").applyInPandas(add, "scan_id string, sums array<double>").toLocalIterator():
             v = np.array(row["sums"])
             m = int((-1 + np.sqrt(4 * len(v) - 3)) / 2)

@@ -101,7 +101,8 @@ class Sun:
     def continuum(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         r = np.hypot(u, v)
         mu = np.sqrt(np.clip(1 - r * r, 0, 1))
-        return (1 - 0.55 * (1 - mu)) * np.clip((1.004 - r) / 0.008, 0, 1)
+        grain = 0.08 * (octaves(u * 8 + 50, v * 14 + 50, self.seed + 9, 3) - 0.5)
+        return (1 - 0.55 * (1 - mu) + grain) * np.clip((1.004 - r) / 0.008, 0, 1)
 
     def velocity(self, u: np.ndarray, v: np.ndarray) -> np.ndarray:
         """Line shift in pixels from rotation about the vertical axis."""
