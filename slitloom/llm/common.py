@@ -12,6 +12,11 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+# freed Arrow buffers go back to the system, not to a pool that a reused worker keeps
+pa.set_memory_pool(pa.system_memory_pool())
+
+#: Bytes of a batch on its way to Python, where the session has no other limit.
+BATCH_BYTES = 8 << 20
 #: Bytes of text that a kernel works on at once; bounds a Python worker's memory whatever the batch.
 SLICE_BYTES = 4 << 20
 
@@ -63,8 +68,16 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
     yield batch.slice(begin)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches by bytes as well as by rows: 10,000 long texts are too much for a worker."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def map_text(df: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str, column: str = "text") -> DataFrame:
     """mapInArrow with bounded slices of text."""
+    bound_batches(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -81,10 +94,21 @@ def keyed_texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).where(F.col("doc_id").isNotNull())
 
 
+#: Ids up to this many are sent to every executor (8 bytes each, some 30 in the hash table); beyond, both sides are shuffled.
+BROADCAST_IDS = 1_000_000
+
+
+def sized(side: DataFrame, limit: int = BROADCAST_IDS) -> DataFrame:
+    """A stored table, marked to be broadcast if it has at most `limit` rows."""
+    return F.broadcast(side) if side.count() <= limit else side
+
+
 def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """docs but for the ids in gone.doc_id; rows whose id is null stay."""
+    """docs but for the ids in gone.doc_id; rows whose id is null stay.  The
+    texts are only shuffled if the ids are too many to broadcast."""
     key = "__gone_doc_id"
-    return docs.join(gone.select(F.col("doc_id").alias(key)).distinct(), docs["doc_id"] == F.col(key), "left_anti")
+    ids = stored(gone.select(F.col("doc_id").alias(key)).distinct(), "gone")
+    return docs.join(sized(ids), docs["doc_id"] == F.col(key), "left_anti")
 
 
 def cores(spark: SparkSession) -> int:

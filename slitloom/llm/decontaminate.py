@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import keyed_texts, load, map_text, stored, without
+from .common import keyed_texts, load, map_text, without
 
 SEED = 3
 RARE = 0.75
@@ -242,7 +242,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED, rare: float = RA
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """docs without those that hold a copy of an item, all columns as they came."""
-    return without(docs, stored(leaks(docs, benchmark).select("doc_id").distinct(), "leaks"))
+    return without(docs, leaks(docs, benchmark))
 
 
 def op7_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

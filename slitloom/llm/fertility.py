@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from . import text as T
 from . import vocab as V
-from .common import load, map_text, stored
+from .common import load, map_text, stored, without
 
 LEVEL_VOCAB = "byte_bpe_multi_50k.tiktoken"
 PIECE_VOCAB = "piece_bpe_32k.model"
@@ -47,22 +47,19 @@ def measure(ids: pa.Array, lang: pa.Array, col: pa.Array, folder: str) -> pa.Rec
     raw, offsets = T.buffers(col)
     n = len(offsets) - 1
     start, end, first = V.chunks(raw, offsets)
-    key = ("fertility", folder)
-    if key not in V._CACHES:
-        level = V.byte_level(LEVEL_VOCAB, folder)
-        model, byte = V.pieces(PIECE_VOCAB, folder)
-
-        def encode(new: list[str]):
-            split = [s.split() for s in new]
-            got = iter(model.encode([w for ws in split for w in ws], num_threads=1))
-            rows = []
-            for ws in split:
-                mine = [next(got) for _ in ws]
-                rows.append((sum(map(len, mine)), sum(i in byte for ids in mine for i in ids)))
-            return rows, [level.encode_ordinary(s) for s in new]
-
-        V._CACHES[key] = V.Chunks(encode, 2)
-    cache = V._CACHES[key]
+    level = V.byte_level(LEVEL_VOCAB, folder)
+    model, byte = V.pieces(PIECE_VOCAB, folder)
+
+    def encode(new: list[str]):
+        split = [s.split() for s in new]
+        got = iter(model.encode([w for ws in split for w in ws], num_threads=1))
+        rows = []
+        for ws in split:
+            mine = [next(got) for _ in ws]
+            rows.append((sum(map(len, mine)), sum(i in byte for ids in mine for i in ids)))
+        return rows, [level.encode_ordinary(s) for s in new]
+
+    cache = V.cache(("fertility", folder), lambda: V.Chunks(encode, 2))
     which = cache.look(raw, start, end)
     tokens, size = cache.gather(which)
     count = V.sum_by(size, first)
@@ -177,9 +174,8 @@ def keep_fertile(docs: DataFrame, folder: str = V.TOKENIZER_DIR) -> DataFrame:
     """docs without the rejected ones, all columns as they came.  A doc_id
     stays if any of its rows does; rows without an id are dropped, since no
     later stage could name them."""
-    key = "__kept_doc_id"
-    kept = judged(docs, folder).where("kept and doc_id is not null").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept, docs["doc_id"] == F.col(key), "left_semi")
+    rejected = judged(docs, folder).where("doc_id is not null").groupBy("doc_id").agg(F.max("kept").alias("kept")).where("not kept")
+    return without(docs.where(F.col("doc_id").isNotNull()), rejected.select("doc_id"))
 
 
 def op6_tokeniser_fertility(spark: SparkSession, sf_dir: str) -> DataFrame:

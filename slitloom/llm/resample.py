@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import keyed_texts, load, slices, stored
+from .common import BROADCAST_IDS, bound_batches, keyed_texts, load, slices, stored
 
 #: Bits of the bucket number of single tokens and of pairs.
 UNI_BITS, PAIR_BITS = 20, 18
@@ -33,8 +33,6 @@ BUCKETS = (1 << UNI_BITS) + (1 << PAIR_BITS)
 RANGE = 1 << 14
 SURE = 4.0
 SEED = 11
-#: Labelled target ids up to this many are sent to every executor; beyond, the two tables are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 
 _PUNCT = ~(T.WORD | T.SPACE)
 
@@ -120,6 +118,7 @@ def _counts(docs: DataFrame, good: DataFrame, n_good: int) -> DataFrame:
 def weights(docs: DataFrame, labels: DataFrame, sure: float = SURE, seed: int = SEED) -> tuple[DataFrame, float]:
     """((doc_id, log_weight, noisy) of each document, the target's share)."""
     spark = docs.sparkSession
+    bound_batches(spark)
     good, share = targets(labels)
     plain = keyed_texts(docs)
     counts = stored(_counts(plain, good, good.count()), "ngrams")

@@ -20,7 +20,7 @@ TOKENIZER_DIR = "/opt/tokenizers"
 #: The published pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks that a worker remembers before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 120_000
 
 _FOLLOWS = np.zeros(256, bool)
 _FOLLOWS[0x21:0x7F] = True
@@ -30,6 +30,15 @@ _MODELS: dict = {}
 _CACHES: dict = {}
 
 
+def cache(key: tuple, make) -> "Chunks":
+    """This process's chunks for one purpose; those of other purposes are let
+    go, since a worker that serves several stages would keep them all."""
+    if key not in _CACHES:
+        _CACHES.clear()
+        _CACHES[key] = make()
+    return _CACHES[key]
+
+
 def byte_ranks(path: str) -> dict[bytes, int]:
     with open(path, "rb") as f:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f) if a}
@@ -127,12 +136,10 @@ def token_ids(col: pa.Array, name: str, folder: str = TOKENIZER_DIR) -> tuple[np
     """(ids, first): byte-level ids of each text, just as if it were encoded whole."""
     raw, offsets = T.buffers(col)
     start, end, first = chunks(raw, offsets)
-    key = ("ids", folder, name)
-    if key not in _CACHES:
-        model = byte_level(name, folder)
-        _CACHES[key] = Chunks(lambda new: ([()] * len(new), [model.encode_ordinary(s) for s in new]), 0)
-    which = _CACHES[key].look(raw, start, end)
-    ids, size = _CACHES[key].gather(which)
+    model = byte_level(name, folder)
+    own = cache(("ids", folder, name), lambda: Chunks(lambda new: ([()] * len(new), [model.encode_ordinary(s) for s in new]), 0))
+    which = own.look(raw, start, end)
+    ids, size = own.gather(which)
     return ids, np.concatenate([[0], np.cumsum(sum_by(size, first))])
 
 
@@ -140,12 +147,9 @@ def token_counts(col: pa.Array, name: str, folder: str = TOKENIZER_DIR) -> np.nd
     """Number of byte-level ids of each text."""
     raw, offsets = T.buffers(col)
     start, end, first = chunks(raw, offsets)
-    key = ("count", folder, name)
-    if key not in _CACHES:
-        model = byte_level(name, folder)
-        _CACHES[key] = Chunks(lambda new: ([len(model.encode_ordinary(s)) for s in new], [()] * len(new)), 1)
-    cache = _CACHES[key]
+    model = byte_level(name, folder)
+    own = cache(("count", folder, name), lambda: Chunks(lambda new: ([len(model.encode_ordinary(s)) for s in new], [()] * len(new)), 1))
     if not len(start):
         return np.zeros(len(offsets) - 1, np.int64)
-    which = cache.look(raw, start, end)
-    return sum_by(cache.rows[which, 0], first)
+    which = own.look(raw, start, end)
+    return sum_by(own.rows[which, 0], first)
