@@ -24,6 +24,7 @@ from ..functions import numeric as N
 from ..functions import photometry as P
 from ..functions import restore as R
 from ..functions import spectrum as S
+from ..functions import telluric as T
 from ..operators.frames import bright_frames
 
 
@@ -69,6 +70,7 @@ class Options:
     profile: bool = True
     motion: bool = True
     scan_positions: bool = True
+    limb_positions: bool = True
     transparency: bool = True
     bursts: bool = True
     rows: bool = True
@@ -300,6 +302,64 @@ def profiles(frames: DataFrame, found: dict[str, Geometry], dy: dict[str, np.nda
     return per_frame(frames, final, "scan_id string, frame int, core array<float>, mu array<float>, depth array<float>, cont array<float>")
 
 
+#: Spectral places, in pixels from the line, at which a frame's mean spectrum is kept.
+REACH = 60
+
+
+def frame_spectra(frames: DataFrame, found: dict[str, Geometry], dy: dict[str, np.ndarray], wing: float = 6.0) -> DataFrame:
+    """(scan_id, frame, spec, blue, red): each frame's mean spectrum along the
+    line, and its columns at the two wings, from one pass."""
+
+    def kernel(scan: str, number: np.ndarray, cube: np.ndarray) -> dict | None:
+        if scan not in found:
+            return None
+        g = found[scan]
+        y = np.arange(g.height, dtype=float)
+        shift = dy[scan][number][:, None] if scan in dy else 0.0
+        centre = g.line.centre(np.broadcast_to(y + shift, (len(number), g.height)))
+        room = int(min(REACH, g.width // 2 - 8))
+        offset = np.concatenate([np.arange(-room, room + 1), np.linspace(-wing - 1, -wing + 1, 5), np.linspace(wing - 1, wing + 1, 5)])
+        values = S.spline_lines(cube.astype(float), centre[..., None] + offset)
+        lit = values.max(-1) > 0.25 * g.level
+        spec = (values[..., : 2 * room + 1] * lit[..., None]).sum(1) / np.maximum(lit.sum(1), 1)[:, None]
+        k = np.exp(-0.5 * np.linspace(-1, 1, 5) ** 2)
+        wings = values[..., 2 * room + 1 :].reshape(*lit.shape, 2, 5) @ (k / k.sum())
+        return {"spec": spec, "blue": wings[..., 0], "red": wings[..., 1]}
+
+    return per_frame(frames, kernel, "scan_id string, frame int, spec array<float>, blue array<float>, red array<float>")
+
+
+def drifts(frames: DataFrame, found: dict[str, Geometry], images: dict[str, np.ndarray], dy: dict[str, np.ndarray]) -> DataFrame:
+    """(scan_id, frames, lines, dispersion, flexure, slit): drift from water
+    lines of each scan that shows any; `flexure` by frame, `slit` by row."""
+
+    def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("frame")
+        scan = pdf["scan_id"].iloc[0]
+        spec = np.stack(pdf["spec"].to_list()).astype(float)
+        room = spec.shape[1] // 2
+        g = found[scan]
+        got = T.flexure(spec, np.arange(-room, room + 1, dtype=float), float(np.median(g.sigma)))
+        if got is None:
+            return pd.DataFrame({k: pd.Series([], dtype=object) for k in ("scan_id", "frames", "lines", "dispersion", "flexure", "slit")})
+        slit = T.slit_velocity(images[scan], g.line.centre(np.arange(g.height)), g.line.first, g.line.last, got.offsets)
+        return pd.DataFrame({"scan_id": [scan], "frames": [len(pdf)], "lines": [got.lines], "dispersion": [got.dispersion], "flexure": [got.series], "slit": [slit if slit is not None else np.zeros(g.height)]})
+
+    schema = "scan_id string, frames int, lines int, dispersion double, flexure array<double>, slit array<double>"
+    return frame_spectra(frames, found, dy).groupBy("scan_id").applyInPandas(solve, schema)
+
+
+def wing_dopplergrams(frames: DataFrame, wing: float = 6.0) -> DataFrame:
+    """(scan_id, y, row) of the difference of the wings over their sum, by slit row and frame."""
+    found, _ = geometries(frames)
+
+    def image(pdf: pd.DataFrame) -> pd.DataFrame:
+        v = T.wing_difference(_image(pdf, "blue"), _image(pdf, "red"))
+        return pd.DataFrame({"scan_id": pdf["scan_id"].iloc[0], "y": np.arange(len(v), dtype=np.int32), "row": list(v.astype(np.float32))})
+
+    return frame_spectra(frames, found, {}, wing).groupBy("scan_id").applyInPandas(image, "scan_id string, y int, row array<float>")
+
+
 def finish(img: np.ndarray, flux: np.ndarray, o: Options, report: dict) -> np.ndarray | None:
     """The corrected column image's round disk."""
     t = o.tuning
@@ -313,6 +373,12 @@ def finish(img: np.ndarray, flux: np.ndarray, o: Options, report: dict) -> np.nd
             if dx is not None:
                 report["scan_position_rms"] = float(dx.std())
                 img = M.shift_along_x(img, dx)
+        if k == 0 and o.limb_positions:
+            e = G.fit_ellipse(G.limb_points(img))
+            if e is not None:
+                dx = G.limb_x_offsets(G.limb_points(img), e, img.shape[1])
+                report["limb_position_rms"] = float(dx.std())
+                img = M.shift_along_x(img, dx)
         if k == 0 and o.bursts:
             img, flag, _ = P.repair_bursts(img, t.burst_thresh)
             report["bursts"] = int(flag.sum())
@@ -325,12 +391,12 @@ def finish(img: np.ndarray, flux: np.ndarray, o: Options, report: dict) -> np.nd
         noise = P.stride_noise(img)
         if noise is not None:
             img = P.temporal_nlm(img, *noise, radius=int(round(t.nlm_radius)), h=t.nlm_h)
-    e = G.fit_ellipse(G.limb_points(img))
+    e = G.fit_ellipse(G.limb_points_plain(img) if o.baseline else G.limb_points(img))
     if e is None:
         return None
     report["ellipse"] = {k: v for k, v in asdict(e).items() if k != "conic"}
     report["slit_angle_deg"] = G.slit_angle(e, o.rotation_deg, o.flip_x, o.flip_y)
-    out = G.warp(img, e, G.canvas(e, o.margin), o.rotation_deg, o.flip_x, o.flip_y)
+    out = G.warp_plain(img, e, G.canvas(e, o.margin)) if o.baseline else G.warp(img, e, G.canvas(e, o.margin), o.rotation_deg, o.flip_x, o.flip_y)
     if o.deconvolve:
         out = R.deconvolve(out.astype(float), int(round(t.rl_iters)), t.rl_tv, t.rl_floor)
     if o.denoise:
@@ -346,9 +412,10 @@ def reconstruct(frames: DataFrame, o: Options = Options()) -> DataFrame:
     and one row (report) of JSON.  A scan without a line or a limb gives the
     report alone; one without frames gives nothing."""
     if o.baseline:
-        o = replace(o, profile=False, motion=False, scan_positions=False, transparency=False, bursts=False, demix=False, nlm=False)
-    found, _ = geometries(frames, o.baseline)
+        o = replace(o, profile=False, motion=False, scan_positions=False, limb_positions=False, transparency=False, bursts=False, demix=False, nlm=False)
+    found, images = geometries(frames, o.baseline)
     dy = motions(frames, found, o) if o.motion else {}
+    water = {r["scan_id"]: (np.array(r["flexure"]), np.array(r["slit"]), r["lines"]) for r in drifts(frames, found, images, dy).toLocalIterator()} if o.profile else {}
     smiles = {scan: g.line.centre(np.arange(g.height)) for scan, g in found.items()}
 
     def image(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -366,13 +433,15 @@ def reconstruct(frames: DataFrame, o: Options = Options()) -> DataFrame:
                 ok = np.isfinite(rest) & (depth > 0.15)
                 flex = np.array([np.median(rest[ok[:, t], t]) if ok[:, t].sum() > 50 else np.nan for t in range(rest.shape[1])])
                 good = np.isfinite(flex)
-                flexure = np.zeros(len(flex))
-                if good.sum() > 20:
+                flexure, slit = np.zeros(len(flex)), np.zeros(len(mu))
+                if scan in water:
+                    flexure, slit, report["water_lines"] = water[scan]
+                elif good.sum() > 20:  # the Sun's own line, without what is straight in it
                     soft = N.loess(N.nearest_fill(flex), 101)
                     line = N.fit_robust(np.arange(len(flex), dtype=float), soft, 1, 4)
                     flexure = soft - N.evaluate(line, np.arange(len(flex), dtype=float))
                     flexure = np.where(np.abs(flexure) <= 0.02, 0, flexure)
-                v = S.velocity(mu, smiles[scan], flexure, np.zeros(len(mu)), depth, core)
+                v = S.velocity(mu, smiles[scan], flexure, slit, depth, core)
                 report["velocity_rms"] = float(v[v != 0].std()) if (v != 0).any() else 0.0
                 e = G.fit_ellipse(G.limb_points(core))
                 if e is not None:

@@ -234,3 +234,44 @@ def test_colour_is_black_where_there_is_nothing():
 def test_archive_names():
     assert archive.parse_name("20240131235959Bh.jpg") == (1706745599, "B")
     assert archive.parse_name("20240131235959B.jpg") is None and archive.parse_name("20241331235959Bh.jpg") is None
+
+
+def test_flexure_from_water_lines():
+    from slitloom.functions import telluric as T
+
+    dispersion, rng = 0.08, np.random.default_rng(0)
+    off = np.arange(-60, 61, dtype=float)
+    drift = 0.2 * np.sin(np.linspace(0, 6, 200))
+    rows = np.ones((200, 121)) - 0.7 * np.exp(-0.5 * (off / 2.5) ** 2)
+    for d in T.WATER:
+        if 9 < abs(d / dispersion) < 55:
+            rows -= 0.08 * np.exp(-0.5 * ((off[None] - d / dispersion - drift[:, None]) / 1.5) ** 2)
+    got = T.flexure(1000 * rows + rng.normal(0, 0.5, rows.shape), off, 2.0)
+    assert got is not None and got.lines >= 1
+    assert np.corrcoef(got.series, drift - drift.mean())[0, 1] > 0.95
+    assert T.flexure(rows[:50], off, 2.0) is None
+
+
+def test_wing_difference_is_nought_in_the_dark():
+    from slitloom.functions import telluric as T
+
+    blue, red = np.full((10, 10), 100.0), np.full((10, 10), 110.0)
+    blue[:2] = red[:2] = 1
+    out = T.wing_difference(blue, red)
+    assert (out[:2] == 0).all() and out[5, 5] == pytest.approx(10 / 210)
+
+
+def test_plain_limb_and_warp_agree_with_the_fine_ones():
+    y, x = np.mgrid[:320, :420].astype(float)
+    img = 10000.0 / (1 + np.exp((np.hypot((x - 210) / 1.6, y - 160) - 120) / 0.7))
+    e = G.fit_ellipse(G.limb_points_plain(img))
+    assert e.radius == pytest.approx(120, abs=2)
+    assert G.fit_disk(G.warp_plain(img, e).astype(float)).r == pytest.approx(120, abs=2)
+
+
+def test_limb_offsets_find_a_shifted_column_band():
+    t = np.linspace(0.2, np.pi - 0.2, 300)
+    pts = np.concatenate([np.stack([200 - 120 * np.cos(t), 160 + s * 120 * np.sin(t), np.ones(300)], 1) for s in (1, -1)])
+    pts[(pts[:, 0] > 150) & (pts[:, 0] < 165), 0] += 0.0
+    e = G.fit_ellipse(pts)
+    assert np.abs(G.limb_x_offsets(pts, e, 400)).max() < 0.1
