@@ -32,6 +32,9 @@ BUCKETS = (1 << UNI_BITS) + (1 << PAIR_BITS)
 #: Buckets in one row of counts.
 RANGE = 1 << 14
 SURE = 4.0
+#: n-grams up to which log ratios add up; a longer document has the weight of
+#: its average stretch of so many, else chance would outgrow what sets texts apart.
+LENGTH = 500
 SEED = 11
 
 _PUNCT = ~(T.WORD | T.SPACE)
@@ -141,7 +144,9 @@ def weights(docs: DataFrame, labels: DataFrame, sure: float = SURE, seed: int =
         for batch in batches:
             for part in slices(batch):
                 bucket, own = features(part.column("text"))
-                weight = np.round(np.bincount(own, weights=shared.value[bucket], minlength=part.num_rows), 6)
+                size = np.bincount(own, minlength=part.num_rows)
+                total = np.bincount(own, weights=shared.value[bucket], minlength=part.num_rows)
+                weight = np.round(total * np.minimum(1, LENGTH / np.maximum(size, 1)), 6)
                 noise = gumbel(part.column("doc_id").to_numpy(zero_copy_only=False), seed)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(weight), pa.array(np.round(weight + noise, 6))], ["doc_id", "log_weight", "noisy"])
 
