@@ -20,7 +20,7 @@ TOKENIZER_DIR = "/opt/tokenizers"
 #: The published pattern of the byte-level vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: Chunks that a worker remembers before it starts afresh.
-REMEMBERED = 120_000
+REMEMBERED = 300_000
 
 _FOLLOWS = np.zeros(256, bool)
 _FOLLOWS[0x21:0x7F] = True
