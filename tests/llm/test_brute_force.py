@@ -229,3 +229,24 @@ def test_pipeline_is_its_stages_in_turn(spark):
         total[r["doc_id"]] += r["n_tokens"]
     count = V.token_counts(pa.array([three[d] for d in sorted(want)]), bestfit.VOCAB)
     assert total == dict(zip(sorted(want), count.tolist(), strict=True))
+
+
+def test_lines_seen_apart_that_recur_together(spark):
+    rng = random.Random(12)
+    texts: dict[int, str] = {}
+    want = {}
+    for group in range(40):
+        one, two = sentence(rng, 30), sentence(rng, 30)
+        apart = lambda: [f"{sentence(rng, 20)} {line} {sentence(rng, 20)}" for line in (one, two) for _ in range(group // 2)]  # noqa: B023, E731
+        both = f"{one} {two}".split()
+        edited = " ".join(w if group < 20 or rng.random() > 0.05 else "edited" for w in both)
+        rows = [*apart(), f"{sentence(rng, 20)} {' '.join(both)} {sentence(rng, 20)}", *apart(), f"{sentence(rng, 20)} {edited} {sentence(rng, 20)}"]
+        for k, t in enumerate(rows):
+            texts[1000 * group + k] = t
+        want[1000 * group + len(rows) - 1] = 1000 * group + group // 2 * 2
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t)) for i, t in texts.items()], SCHEMA)
+    found = chaining.passages(docs).collect()
+    got = {r["doc_id"] for r in found if want.get(r["doc_id"]) == r["source_id"] and r["end_word"] - r["start_word"] >= 50}
+    assert all(d in got for d in want if d < 20_000)  # word for word
+    assert len(got) >= 0.9 * len(want)
+    assert all(r["doc_id"] in want for r in found)
