@@ -1,15 +1,16 @@
-"""Benchmark decontamination: rare n-gram seeds, then local alignment.
-
-The benchmark's n-grams are counted over all documents; each item's rarest
-`rare` share of them are its seeds (by rank, so an item that many documents
-copy keeps its seeds).  Wherever a document holds a seed, the window in which
-the item would lie is aligned with it by Smith-Waterman over words (match +2,
-mismatch -1, gap -1).  A passage whose score reaches `threshold` of the item's
-own score is a copy, also when words were changed, dropped or put in.
-
-Both passes scan the documents without a shuffle: seeds and items go to the
-executors in groups of at most `group_words` words, so what is broadcast has a
-fixed bound; a larger benchmark takes more groups, each with its own passes.
+"""Benchmark decontamination: n-gram seeds, then local alignment.
+
+All n-grams of an item are its seeds: which of them an edited copy keeps is not
+known before.  Wherever a document holds a seed, the window in which the item
+would lie is a candidate; windows with too few of the item's words for any
+alignment to reach the threshold are dropped, the others aligned with it by
+Smith-Waterman over words (match +2, mismatch -1, gap -1).  A passage whose
+score reaches `threshold` of the item's own score is a copy, also when words
+were changed, dropped or put in.
+
+The documents are scanned once, without a shuffle: items go to the executors in
+groups of at most `group_words` words, so what is broadcast has a fixed bound;
+a larger benchmark takes more groups, each with its own pass.
 """
 
 from __future__ import annotations
@@ -23,7 +24,6 @@ from . import text as T
 from .common import keyed_texts, load, map_text, without
 
 SEED = 3
-RARE = 0.75
 THRESHOLD = 0.4
 #: Items of fewer words are too short to tell a copy from chance.
 LEAST_WORDS = 8
@@ -31,6 +31,8 @@ GROUP_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Cells of the alignment matrix that are computed at once.
 CELLS = 1 << 20
+#: Words of windows that are looked up at once.
+SIFTED = 1 << 21
 
 
 def smith_waterman(items: np.ndarray, windows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -93,25 +95,22 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 class Items:
-    """A group of benchmark items: words, n-grams and, later, seeds."""
+    """A group of benchmark items: words, and n-grams as seeds."""
 
     def __init__(self, ids: np.ndarray, words: np.ndarray, first: np.ndarray, n: int):
         self.ids, self.words, self.first, self.n = ids, words, first, n
         gram, at = T.shingles(words, first, n)
-        self.item = T.owners(first)[at]
-        self.place = at - first[self.item]
-        self.grams, self.which = np.unique(gram, return_inverse=True)
-
-    def seeds(self, count: np.ndarray, rare: float) -> None:
-        """Keep each item's rarest share of n-grams, ties by place."""
-        df = count[self.which]
-        order = np.lexsort((self.place, df, self.item))
-        size = np.bincount(self.item, minlength=len(self.ids))
-        rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-        keep = order[rank < np.ceil(rare * size[self.item[order]])]
-        keep = keep[np.argsort(self.which[keep], kind="stable")]
-        self.seed_item, self.seed_place = self.item[keep], self.place[keep]
-        self.seed_gram, self.seed_from, self.seed_many = np.unique(self.grams[self.which[keep]], return_index=True, return_counts=True)
+        item = T.owners(first)[at]
+        order = np.argsort(gram, kind="stable")
+        self.seed_item, self.seed_place = item[order], (at - first[item])[order]
+        self.seed_gram, self.seed_from, self.seed_many = np.unique(gram[order], return_index=True, return_counts=True)
+        self.vocabulary = T.distinct(worded(words, T.owners(first)))
+
+
+def worded(words: np.ndarray, item: np.ndarray) -> np.ndarray:
+    """Keys of (word, item)."""
+    with np.errstate(over="ignore"):
+        return T.mix(words + item.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,13 +128,14 @@ def find(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndar
     return at[hit], place[hit]
 
 
-def hits_to_windows(items: Items, h: np.ndarray, first: np.ndarray, n: int) -> list[tuple[int, int, int, int]]:
-    """(text, item, from, to): windows of words in which a seed says an item
+def hits_to_windows(items: Items, h: np.ndarray, first: np.ndarray, n: int) -> tuple[np.ndarray, ...]:
+    """(text, item, from, to) of windows of words in which a seed says an item
     may lie; windows of one text and item that overlap are one."""
     gram, at = T.shingles(h, first, n)
     hit, place = find(items.seed_gram, gram)
     if not len(hit):
-        return []
+        z = np.zeros(0, np.int64)
+        return z, z, z, z
     many = items.seed_many[place]
     slot = np.repeat(items.seed_from[place], many) + np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
     word = np.repeat(at[hit], many)
@@ -146,13 +146,34 @@ def hits_to_windows(items: Items, h: np.ndarray, first: np.ndarray, n: int) -> l
     low = np.maximum(word - offset - slack, first[text])
     high = np.minimum(word - offset + length + slack, first[text + 1])
     order = np.lexsort((low, item, text))
-    out: list[tuple[int, int, int, int]] = []
-    for t, i, a, b in zip(text[order].tolist(), item[order].tolist(), low[order].tolist(), high[order].tolist(), strict=True):
-        if out and out[-1][0] == t and out[-1][1] == i and a <= out[-1][3]:
-            out[-1] = (t, i, out[-1][2], max(out[-1][3], b))
-        else:
-            out.append((t, i, a, b))
-    return out
+    text, item, low, high = text[order], item[order], low[order], high[order]
+    # one key a text and item, so that the reach of the windows before grows within it only
+    pair = np.cumsum(np.r_[False, (text[1:] != text[:-1]) | (item[1:] != item[:-1])])
+    span = len(h) + 1
+    reach = np.maximum.accumulate(pair * span + high)
+    new = np.r_[True, (pair * span + low)[1:] > reach[:-1]]
+    start = np.flatnonzero(new)
+    stop = np.append(start[1:], len(new)) - 1
+    return text[start], item[start], low[start], reach[stop] - pair[stop] * span
+
+
+def hopeful(items: Items, h: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: float) -> np.ndarray:
+    """Which windows hold enough of the item's words to reach the threshold if all of them matched."""
+    need = threshold * np.diff(items.first)[item]
+    size = high - low
+    out = np.zeros(len(item), bool)
+    begin = 0
+    ends = np.cumsum(size)
+    while begin < len(item):
+        done = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, done + SIFTED, "right")))
+        n = size[begin:end]
+        own = np.repeat(np.arange(end - begin), n)
+        word = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[begin:end], n)
+        hit, _ = find(items.vocabulary, worded(h[word], item[begin:end][own]))
+        out[begin:end] = np.bincount(own[hit], minlength=end - begin) >= need[begin:end] - 1e-9
+        begin = end
+    return np.flatnonzero(out)
 
 
 SCHEMA = "doc_id bigint, item_id bigint, score double, start_word int, end_word int"
@@ -182,7 +203,7 @@ def _items(ids: list[int], texts: list[str], n: int) -> Items:
     return Items(np.array(ids, np.int64)[keep], words, np.concatenate([[0], np.cumsum(size[keep])]), n)
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED, rare: float = RARE, threshold: float = THRESHOLD, group_words: int = GROUP_WORDS) -> DataFrame:
+def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED, threshold: float = THRESHOLD, group_words: int = GROUP_WORDS) -> DataFrame:
     """SCHEMA: documents and the items that they hold a copy of, the alignment's
     share of the item's full score, and the words of the best passage.
 
@@ -195,35 +216,19 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED, rare: float = RA
     plain = keyed_texts(docs)
     found = None
     for items in _groups(benchmark, n, group_words):
-        if not len(items.grams):
+        if not len(items.seed_gram):
             continue
-        grams = items.grams
-        shared = spark.sparkContext.broadcast(grams)
-
-        def count(batch: pa.RecordBatch, shared=shared) -> pa.RecordBatch:
-            h, first, *_ = T.words(batch.column("text"))
-            gram, at = T.shingles(h, first, n)
-            hit, place = find(shared.value, gram)
-            pair = T.distinct((T.owners(first)[at[hit]] << 32 | place).astype(np.uint64)) & np.uint64(0xFFFFFFFF)
-            got = np.bincount(pair.astype(np.int64), minlength=1)
-            some = np.flatnonzero(got)
-            return pa.RecordBatch.from_arrays([pa.array(some), pa.array(got[some])], ["gram", "docs"])
-
-        df = np.zeros(len(grams), np.int64)
-        for row in map_text(plain, count, "gram bigint, docs bigint").groupBy("gram").agg(F.sum("docs").alias("docs")).toLocalIterator():
-            df[row["gram"]] = row["docs"]
-        shared.unpersist()
-        items.seeds(df, rare)
         group = spark.sparkContext.broadcast(items)
 
         def score(batch: pa.RecordBatch, group=group) -> pa.RecordBatch | None:
             own = group.value
             h, first, *_ = T.words(batch.column("text"))
-            windows = hits_to_windows(own, h, first, n)
-            if not windows:
+            text, item, low, high = hits_to_windows(own, h, first, n)
+            some = hopeful(own, h, item, low, high, threshold)
+            if not len(some):
                 return None
-            got, begin, end = align([(own.words[own.first[i] : own.first[i + 1]], h[a:b]) for _, i, a, b in windows])
-            text, item, low, _ = np.array(windows, np.int64).T
+            text, item, low, high = text[some], item[some], low[some], high[some]
+            got, begin, end = align([(own.words[own.first[i] : own.first[i + 1]], h[a:b]) for i, a, b in zip(item.tolist(), low.tolist(), high.tolist(), strict=True)])
             share = got / (MATCH * np.diff(own.first)[item])
             keep = np.flatnonzero(share >= threshold)
             text, item, at = text[keep], item[keep], low[keep] - first[text[keep]]

@@ -250,3 +250,28 @@ def test_lines_seen_apart_that_recur_together(spark):
     assert all(d in got for d in want if d < 20_000)  # word for word
     assert len(got) >= 0.9 * len(want)
     assert all(r["doc_id"] in want for r in found)
+
+
+def test_leaks_of_much_edited_copies(spark):
+    rng = random.Random(21)
+    common = [f"c{i}" for i in range(60)]
+    items = {i: " ".join(rng.choice(common) if rng.random() < 0.3 else f"w{rng.randrange(3000)}" for _ in range(rng.randrange(14, 60))) for i in range(60)}
+    texts = {}
+    for i, t in items.items():
+        texts[3 * i] = f"{sentence(rng, 40)} {t} {sentence(rng, 40)}"  # exact copies make the grams that are kept the most frequent
+        for k, rate in ((1, 0.3), (2, 0.4)):
+            gone = set(rng.sample(range(len(t.split())), round(rate * len(t.split()))))
+            texts[3 * i + k] = f"{sentence(rng, 40)} {' '.join(f'x{rng.randrange(9000)}' if j in gone else w for j, w in enumerate(t.split()))} {sentence(rng, 40)}"
+    docs = spark.createDataFrame([(d, t, "en", "a", len(t)) for d, t in texts.items()], SCHEMA)
+    bench = spark.createDataFrame(list(items.items()), "item_id bigint, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, bench).collect()}
+    words, target = split(texts), split(items)
+    want = set()
+    for d, x in words.items():
+        y = target[d // 3]
+        score, *_ = decontaminate.align([(np.array(y, np.uint64), np.array(x, np.uint64))])
+        if score[0] / (2 * len(y)) >= decontaminate.THRESHOLD:
+            want.add((d, d // 3))
+    edited = {(d, i) for d, i in want if d % 3}
+    assert len(edited) > 60 and len(got & edited) >= 0.97 * len(edited)
+    assert all(i == d // 3 for d, i in got)
