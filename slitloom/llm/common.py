@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
@@ -26,9 +29,13 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session names none."""
+    """The folder that all executors share; one of our own only where the session
+    names none and all runs on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
+        master = spark.sparkContext.master
+        if not re.match(r"local($|\[)", master):
+            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
         where = tempfile.mkdtemp(prefix="slitloom-")
         spark.conf.set("spark.checkpoint.dir", where)
     return where
@@ -42,14 +49,26 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
+def stored(df: DataFrame, name: str, **options: object) -> DataFrame:
     """df written as Parquet to the shared folder and read back: cuts the
     lineage and survives the loss of executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _PATHS[out] = path
+    return out
+
+
+_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a table made by stored() that nothing will read any more."""
+    path = _PATHS.pop(df, None)
+    if path:
+        _remove(df.sparkSession, path)
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -94,6 +113,17 @@ def keyed_texts(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"), *more).where(F.col("doc_id").isNotNull())
 
 
+def one_row_an_id(plain: DataFrame) -> DataFrame:
+    """keyed_texts with one row an id: of rows that repeat an id the longest text,
+    of equally long ones the greatest.  Only the texts of such ids are shuffled."""
+    twice = stored(plain.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__twice")), "twice")
+    if twice.isEmpty():
+        return plain
+    side, same = sized(twice), plain["doc_id"] == F.col("__twice")
+    best = plain.join(side, same, "left_semi").groupBy("doc_id").agg(F.max_by("text", F.struct(F.length("text"), "text")).alias("text"))
+    return plain.join(side, same, "left_anti").unionByName(best)
+
+
 #: Ids up to this many are sent to every executor (8 bytes each, some 30 in the hash table); beyond, both sides are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -115,8 +145,34 @@ def cores(spark: SparkSession) -> int:
     return max(1, spark.sparkContext.defaultParallelism)
 
 
-def parts(spark: SparkSession) -> int:
-    """Partitions of an exchange that feeds Python: as the session says."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-
-
+#: Bytes of input for each partition of an exchange that feeds Python.
+PART_BYTES = 128 << 20
+
+
+def parts(docs: DataFrame) -> int:
+    """Partitions of an exchange that feeds Python: as the session says, and more
+    where the tables behind docs are too large for so few."""
+    leaves = docs._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    known = sum(x for x in sizes if x < 1 << 60)
+    return max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-known // PART_BYTES))
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 1 << 16) -> Iterator[pa.Table]:
+    """Batches sorted by key, cut anew so that no two pieces share a value of it."""
+    held: list[pa.RecordBatch] = []
+    n, enough = 0, rows
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            n += batch.num_rows
+        if n >= enough:
+            table = pa.Table.from_batches(held)
+            values = table[key].to_numpy()
+            cut = int(np.searchsorted(values, values[-1]))
+            if cut:
+                yield table.slice(0, cut)
+            held, n = table.slice(cut).to_batches(), n - cut
+            enough = max(rows, 2 * n)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -265,7 +265,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, key_bits: int | None
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
 
     keyed = reps.select("rep", *_SIG).mapInArrow(keys, "bucket bigint, rep bigint, " + ", ".join(f"{s} bigint" for s in _SIG))
-    edges = keyed.repartition(parts(spark), "bucket").mapInArrow(compare, "a bigint, b bigint")
+    edges = keyed.repartition(parts(docs), "bucket").mapInArrow(compare, "a bigint, b bigint")
     joined = components(edges).select(F.col("node").alias("rep"), "root")
     grouped = signed.join(reps, _SIG).join(joined, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"), *_SIG)
     one = grouped.groupBy("doc_id").agg(F.min("root").alias("root"), *(F.min_by(s, "root").alias(s) for s in _SIG))

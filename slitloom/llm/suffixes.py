@@ -3,9 +3,11 @@
 Which suffixes must meet: every run of LENGTH words has a least shingle of K
 words; all copies of the run have the same one.  Each shingle that is least in
 runs of two places or more belongs to the first document that has it, its
-home, and every stretch of text is sent once to the home of its runs.  Copies
-of a run therefore meet in one home, wherever they come from, and only text
-whose shingles repeat is sent at all.
+home, and every stretch of text belongs to the home of its runs.  Copies of a
+run therefore meet in one home, wherever they come from.  The words of texts,
+32 bits each, are exchanged once to be cut into stretches; stretches of the
+same words then meet and go to their home once, with the places of the others
+beside them.
 
 In a home the stretches are one text, and its suffixes are sorted in two
 stages: the suffixes whose first word does not exceed the next (all that are
@@ -18,6 +20,8 @@ all but the first of them are repeats.
 
 from __future__ import annotations
 
+import hashlib
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,12 +30,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import keyed_texts, load, map_text, parts, stored
+from .common import keyed_texts, load, map_text, one_row_an_id, parts, stored
 
 LENGTH = 50
 K = 8
 #: Words whose suffixes are sorted at once; a home of more is sorted whole.
 SORTED = 1 << 20
+#: Stretches that a task remembers as told, and places that it holds, before it goes on without.
+SEEN = 1 << 18
 _STEP = 8
 
 
@@ -267,98 +273,143 @@ def _stretches(homes: DataFrame, n: int, length: int) -> DataFrame:
     """Requests for the words of a document's successive runs of one home."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [b for b in batches if b.num_rows]
-        if not held:
-            return
-        table = pa.Table.from_batches(held)
-        doc, home, start, many = (table[c].to_numpy() for c in ("doc_id", "home", "start", "many"))
-        order = np.lexsort((start, doc))
-        doc, home, start, many = doc[order], home[order], start[order], many[order]
-        new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (home[1:] != home[:-1]) | (start[1:] != start[:-1] + many[:-1])])
-        last = np.append(new[1:], len(doc)) - 1
-        doc, home, lo, hi = doc[new], home[new], start[new], start[last] + many[last] + length - 1
-        yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(np.ones(len(doc), np.int32)), pa.array(home), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)), pa.nulls(len(doc), pa.binary())], _NAMES)
+        held = [np.zeros(0, np.int64) for _ in range(4)]
+        for batch in itertools.chain(batches, [None]):
+            if batch is not None:
+                if not batch.num_rows:
+                    continue
+                held = [np.concatenate([x, batch.column(c).to_numpy()]) for x, c in zip(held, ("doc_id", "home", "start", "many"), strict=True)]
+            doc, home, start, many = held
+            if not len(doc):
+                continue
+            new = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (home[1:] != home[:-1]) | (start[1:] != start[:-1] + many[:-1])])
+            last = np.append(new[1:], len(doc)) - 1
+            doc, home, lo, many = doc[new], home[new], start[new], start[last] + many[last] - start[new]
+            go = len(doc) - (batch is not None)  # the last one may go on
+            held = [x[go:] for x in (doc, home, lo, many)]
+            if go:
+                lo, hi = lo[:go].astype(np.int32), (lo + many + length - 1)[:go].astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(doc[:go]), pa.array(np.ones(go, np.int32)), pa.array(home[:go]), pa.array(lo), pa.array(hi), pa.nulls(go, pa.binary())], _NAMES)
+
+    return homes.repartition(n, "doc_id").sortWithinPartitions("doc_id", "start").mapInArrow(run, _ROW)
+
+
+_SPELT = "home bigint, same binary, at bigint, lo int, hi int, payload binary"
+_PLACED = "home bigint, kind int, at bigint, lo int, hi int, rep bigint, rep_lo int, payload binary"
 
-    return homes.repartition(n, "doc_id").mapInArrow(run, _ROW)
+
+def _batch(schema: str, rows: list[tuple]) -> pa.RecordBatch:
+    types = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, types[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [name for name, _ in fields])
 
 
 def _spelt(requests: DataFrame, words: DataFrame, n: int) -> DataFrame:
-    """The requests with their words."""
+    """The requests with their words; of those of the same words in a home, which
+    `same` tells, a task gives the words once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, text = None, np.zeros(0, np.uint32)
+        seen: set[bytes] = set()
         for batch in batches:
             col = batch.to_pydict()
             out: list[tuple] = []
             for k in range(batch.num_rows):
                 if col["kind"][k] == 0:
-                    if col["at"][k] != at:
-                        at, text = col["at"][k], np.frombuffer(col["payload"][k], np.uint32)
+                    at, text = col["at"][k], np.frombuffer(col["payload"][k], np.uint32)
                 elif col["at"][k] == at:
-                    out.append((at, 1, col["home"][k], col["lo"][k], col["hi"][k], text[col["lo"][k] : col["hi"][k]].tobytes()))
+                    data = text[col["lo"][k] : col["hi"][k]].tobytes()
+                    same = hashlib.blake2b(data, digest_size=16, salt=(col["home"][k] & (1 << 64) - 1).to_bytes(8, "little")).digest()
+                    out.append((col["home"][k], same, at, col["lo"][k], col["hi"][k], None if same in seen else data))
+                    if len(seen) < SEEN:
+                        seen.add(same)
             if out:
-                types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], _NAMES)
+                yield _batch(_SPELT, out)
 
-    return words.unionByName(requests).repartition(n, "at").sortWithinPartitions("at", "kind", F.desc("hi"), "payload").mapInArrow(run, _ROW)
+    return words.unionByName(requests).repartition(n, "at").sortWithinPartitions("at", "kind").mapInArrow(run, _SPELT)
 
 
-def _found(spelt: DataFrame, n: int, length: int) -> DataFrame:
-    """SCHEMA of the repeats in each home, not yet merged over homes."""
+def _placed(spelt: DataFrame, n: int) -> DataFrame:
+    """Per home the words of its distinct stretches, at their first places (kind 0),
+    and the other places of each (kind 1), without words."""
 
-    def solve(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch | None:
-        one: dict[bytes, int] = {}
-        keep: list[int] = []
-        again: list[tuple[int, int]] = []
-        for i, (_, _, data) in enumerate(rows):
-            j = one.setdefault(data, len(keep))
-            if j == len(keep):
-                keep.append(i)
-            else:  # a whole stretch over again: all its runs occur before
-                again.append((i, j))
-        stretch = [np.frombuffer(rows[i][2], np.uint32) for i in keep]
-        place, first = repeats(stretch, length)
-        order = np.argsort(place)
-        place, first = place[order], first[order]
-        begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in stretch])])
-        docs, los = np.array([rows[i][0] for i in keep]), np.array([rows[i][1] for i in keep])
-        out: list[tuple] = []
-        if len(place):
-            mine, theirs = np.searchsorted(begin, place, "right") - 1, np.searchsorted(begin, first, "right") - 1
-            start = place - begin[mine] + los[mine]
-            new = np.flatnonzero(np.r_[True, (mine[1:] != mine[:-1]) | (start[1:] != start[:-1] + 1)])
-            last = np.append(new[1:], len(place)) - 1
-            out += zip(docs[mine[new]].tolist(), start[new].tolist(), (start[last] + length).tolist(), docs[theirs[new]].tolist(), strict=True)
-        if again:
-            head = begin[np.array([j for _, j in again])]
-            at = np.searchsorted(place, head)
-            known = at < len(place)
-            known[known] = place[at[known]] == head[known]
-            source = head.copy()
-            source[known] = first[at[known]]
-            source = docs[np.searchsorted(begin, source, "right") - 1]
-            out += [(rows[i][0], rows[i][1], rows[i][1] + len(rows[i][2]) // 4, s) for (i, _), s in zip(again, source.tolist(), strict=True)]
-        if not out:
-            return None
-        types = [pa.int64(), pa.int32(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], [f.split()[0] for f in SCHEMA.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        same, rep, told = None, (0, 0, 0, 0), False
+        for batch in batches:
+            out: list[tuple] = []
+            for home, own, at, lo, hi, data in zip(*(batch.column(c).to_pylist() for c in ("home", "same", "at", "lo", "hi", "payload")), strict=True):
+                if own != same:
+                    same, rep, told = own, (home, at, lo, hi), False
+                else:
+                    out.append((home, 1, at, lo, hi, rep[1], rep[2], None))
+                if not told and data is not None:
+                    told = True
+                    out.append((rep[0], 0, *rep[1:], None, None, data))
+            if out:
+                yield _batch(_PLACED, out)
+
+    return spelt.repartition(n, "same").sortWithinPartitions("same", "at", "lo").mapInArrow(run, _PLACED)
+
+
+def _solve(rows: list[tuple[int, int, bytes]], length: int) -> tuple[list[tuple], dict[tuple[int, int], int]]:
+    """(repeats as rows of SCHEMA, source of each stretch whose first run is one)
+    of distinct stretches (document, place, words) of one home or of several."""
+    stretch = [np.frombuffer(data, np.uint32) for *_, data in rows]
+    place, first = repeats(stretch, length)
+    order = np.argsort(place)
+    place, first = place[order], first[order]
+    if not len(place):
+        return [], {}
+    begin = np.concatenate([[0], np.cumsum([len(x) + 1 for x in stretch])])
+    docs, los = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+    mine, theirs = np.searchsorted(begin, place, "right") - 1, np.searchsorted(begin, first, "right") - 1
+    start = place - begin[mine] + los[mine]
+    new = np.flatnonzero(np.r_[True, (mine[1:] != mine[:-1]) | (start[1:] != start[:-1] + 1)])
+    last = np.append(new[1:], len(place)) - 1
+    out = list(zip(docs[mine[new]].tolist(), start[new].tolist(), (start[last] + length).tolist(), docs[theirs[new]].tolist(), strict=True))
+    head = np.flatnonzero(place == begin[mine])
+    return out, dict(zip(zip(docs[mine[head]].tolist(), los[mine[head]].tolist(), strict=True), docs[theirs[head]].tolist(), strict=True))
+
+
+def _found(placed: DataFrame, n: int, length: int) -> DataFrame:
+    """SCHEMA of the repeats in each home, not yet merged over homes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[int, int, bytes]] = []
+        rows: list[tuple[int, int, bytes]] = []  # of whole homes, and of the one at hand so far
+        again: list[tuple[int, int, int, int, int]] = []
+        source: dict[tuple[int, int], int] = {}
         words, home = 0, None
-        for batch in batches:
-            for at, h, lo, data in zip(*(batch.column(c).to_pylist() for c in ("at", "home", "lo", "payload")), strict=True):
-                if h != home and words >= SORTED:
-                    if (got := solve(held)) is not None:
-                        yield got
-                    held, words = [], 0
-                home = h
-                held.append((at, lo, data))
-                words += len(data) // 4
-        if held and (got := solve(held)) is not None:
-            yield got
 
-    return spelt.repartition(n, "home").sortWithinPartitions("home", "at", "lo").mapInArrow(run, SCHEMA)
+        def flush() -> Iterator[pa.RecordBatch]:
+            nonlocal rows, again, words
+            out: list[tuple] = []
+            if rows:
+                found, more = _solve(rows, length)
+                out += found
+                source.update(more)
+            out += [(at, lo, hi, source.get((rep, rep_lo), rep)) for at, lo, hi, rep, rep_lo in again]
+            rows, again, words = [], [], 0
+            if out:
+                yield _batch(SCHEMA, out)
+
+        for batch in batches:
+            for h, kind, at, lo, hi, rep, rep_lo, data in zip(*(batch.column(c).to_pylist() for c in ("home", "kind", "at", "lo", "hi", "rep", "rep_lo", "payload")), strict=True):
+                if h != home:
+                    if words >= SORTED:
+                        yield from flush()
+                    if not rows:
+                        source.clear()
+                    home = h
+                if kind == 0:
+                    rows.append((at, lo, data))
+                    words += len(data) // 4
+                else:  # a home's other places come after all of its words
+                    again.append((at, lo, hi, rep, rep_lo))
+                    if len(again) >= SEEN:
+                        yield from flush()
+        yield from flush()
+
+    return placed.repartition(n, "home").sortWithinPartitions("home", "kind", "at", "lo").mapInArrow(run, SCHEMA)
 
 
 def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
@@ -368,10 +419,12 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     Null and empty texts and those of fewer words have no runs; a null doc_id
     is left out.  Rows that repeat a doc_id count as one document, of the
-    longest text.  An empty table gives no rows; other columns are ignored."""
-    spark = docs.sparkSession
-    n = parts(spark)
-    plain = keyed_texts(docs)
+    longest text (of equally long ones the greatest).  A text of any length is
+    taken whole.  Ties don't arise: of equal runs the first is of the least
+    doc_id, then furthest up.  An empty table gives no rows; other columns are
+    ignored."""
+    n = parts(docs)
+    plain = one_row_an_id(keyed_texts(docs))
 
     def spell(batch: pa.RecordBatch) -> pa.RecordBatch:
         h, first, *_ = T.words(batch.column("text"))
@@ -383,7 +436,7 @@ def repeated(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     runs = map_text(plain, lambda b: _runs(b, length), "hash bigint, doc_id bigint, start int, many int, again boolean")
     requests = stored(_stretches(_homes(runs, n), n, length), "stretches")
-    found = _found(_spelt(requests, map_text(plain, spell, _ROW), n), n, length)
+    found = _found(_placed(_spelt(requests, map_text(plain, spell, _ROW), n), n), n, length)
     own = Window.partitionBy("doc_id").orderBy("start_word", "end_word", "source_id")
     before = F.max("end_word").over(own.rowsBetween(Window.unboundedPreceding, -1))
     island = found.withColumn("new", (F.coalesce(before, F.lit(-1)) < F.col("start_word")).cast("int")).withColumn("island", F.sum("new").over(own.rowsBetween(Window.unboundedPreceding, 0)))
@@ -396,7 +449,8 @@ def op2_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SQL = rf"""
-with w as (select doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from documents where doc_id is not null),
+with t as (select distinct on (doc_id) doc_id, text from documents where doc_id is not null order by doc_id, length(text) desc nulls last, text desc),
+w as (select doc_id, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as words from t),
 p as (select doc_id, words, unnest(range(len(words) - {LENGTH - 1})) as pos from w where len(words) >= {LENGTH}),
 g as (select doc_id, pos, md5(array_to_string(list_slice(words, pos + 1, pos + {LENGTH}), ' ')) as gram from p),
 f as (select doc_id, pos, first_value(doc_id) over o as src, first_value(pos) over o as place from g window o as (partition by gram order by doc_id, pos)),
