@@ -8,10 +8,11 @@ proportion to the weights; k is the target's share of the labelled documents,
 applied to all.
 
 Tokens are runs of word bytes, case kept, and runs of punctuation; n-grams are
-single tokens and pairs, in tables of their own.  A bucket's log ratio comes
-from the documents that hold it and is drawn towards 0 by SURE standard
-errors, so that buckets seen in a few documents don't tell one text from
-another by chance.
+single tokens and pairs, in tables of their own.  A bucket's probabilities are
+its shares of all occurrences, and a document's weight is the sum of log ratios
+over its own occurrences, whatever its length.  A log ratio is drawn towards 0
+by SURE standard errors, so that buckets seen a few times don't tell one text
+from another by chance.
 """
 
 from __future__ import annotations
@@ -32,9 +33,8 @@ BUCKETS = (1 << UNI_BITS) + (1 << PAIR_BITS)
 #: Buckets in one row of counts.
 RANGE = 1 << 14
 SURE = 4.0
-#: n-grams up to which log ratios add up; a longer document has the weight of
-#: its average stretch of so many, else chance would outgrow what sets texts apart.
-LENGTH = 500
+#: Occurrences after which a task hands its counts on, so that 32 bits hold them.
+COUNTED = 1 << 30
 SEED = 11
 
 _PUNCT = ~(T.WORD | T.SPACE)
@@ -57,7 +57,7 @@ def features(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def log_ratios(raw: np.ndarray, target: np.ndarray, raw_total: float, target_total: float, sure: float = SURE) -> np.ndarray:
-    """Shrunk log ratio of the target's to the raw model's bucket probabilities, from document counts."""
+    """Shrunk log ratio of the target's to the raw model's bucket probabilities, from counts of occurrences."""
     if not raw_total or not target_total:
         return np.zeros(len(raw))
     share = target_total / raw_total
@@ -84,25 +84,30 @@ def targets(labels: DataFrame) -> tuple[DataFrame, float]:
 
 
 def _counts(docs: DataFrame, good: DataFrame, n_good: int) -> DataFrame:
-    """(part, raw, target): documents that hold each bucket, RANGE buckets a row."""
+    """(part, raw, target): occurrences of each bucket, RANGE buckets a row."""
     key = "__target_doc_id"
     side = good.select(F.col("doc_id").alias(key))
     joined = docs.join(F.broadcast(side) if n_good <= BROADCAST_IDS else side, F.col("doc_id") == F.col(key), "left").select("text", F.col(key).isNotNull().alias("good"))
 
+    def told(raw: np.ndarray, target: np.ndarray) -> pa.RecordBatch:
+        rows = np.flatnonzero(raw.reshape(-1, RANGE).any(1))
+        data = [pa.array([x[r * RANGE : (r + 1) * RANGE].tobytes() for r in rows.tolist()], pa.binary()) for x in (raw, target)]
+        return pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *data], ["part", "raw", "target"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32)
+        raw, target, seen = np.zeros(BUCKETS, np.int32), np.zeros(BUCKETS, np.int32), 0
         for batch in batches:
             for part in slices(batch):
                 bucket, own = features(part.column("text"))
-                pair = T.distinct((own.astype(np.uint64) << np.uint64(32)) | bucket.astype(np.uint64))
-                bucket, own = (pair & np.uint64(0xFFFFFFFF)).astype(np.int64), (pair >> np.uint64(32)).astype(np.int64)
                 good_ = part.column("good").to_numpy(zero_copy_only=False)
                 raw += np.bincount(bucket, minlength=BUCKETS).astype(np.int32)
                 target += np.bincount(bucket[good_[own]], minlength=BUCKETS).astype(np.int32)
-        if raw.any():
-            rows = np.flatnonzero(raw.reshape(-1, RANGE).any(1))
-            data = [pa.array([x[r * RANGE : (r + 1) * RANGE].tobytes() for r in rows.tolist()], pa.binary()) for x in (raw, target)]
-            yield pa.RecordBatch.from_arrays([pa.array(rows.astype(np.int32)), *data], ["part", "raw", "target"])
+                seen += len(bucket)
+                if seen >= COUNTED:
+                    yield told(raw, target)
+                    raw, target, seen = np.zeros_like(raw), np.zeros_like(target), 0
+        if seen:
+            yield told(raw, target)
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         sums: dict = {}
@@ -135,7 +140,7 @@ def weights(docs: DataFrame, labels: DataFrame, sure: float = SURE, seed: int =
                 some = np.flatnonzero(ratio)
                 yield pa.RecordBatch.from_arrays([pa.array(some + row["part"] * RANGE), pa.array(ratio[some])], ["bucket", "ratio"])
 
-    table = np.zeros(BUCKETS, np.float32)  # of fixed size, whatever the corpus
+    table = np.zeros(BUCKETS)  # of fixed size, whatever the corpus
     for row in counts.mapInArrow(ratios, "bucket bigint, ratio double").toLocalIterator():
         table[row["bucket"]] = row["ratio"]
     shared = spark.sparkContext.broadcast(table)
@@ -144,9 +149,7 @@ def weights(docs: DataFrame, labels: DataFrame, sure: float = SURE, seed: int =
         for batch in batches:
             for part in slices(batch):
                 bucket, own = features(part.column("text"))
-                size = np.bincount(own, minlength=part.num_rows)
-                total = np.bincount(own, weights=shared.value[bucket], minlength=part.num_rows)
-                weight = np.round(total * np.minimum(1, LENGTH / np.maximum(size, 1)), 6)
+                weight = np.round(np.bincount(own, weights=shared.value[bucket], minlength=part.num_rows), 6)
                 noise = gumbel(part.column("doc_id").to_numpy(zero_copy_only=False), seed)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(weight), pa.array(np.round(weight + noise, 6))], ["doc_id", "log_weight", "noisy"])
 
@@ -182,9 +185,10 @@ def resampled(docs: DataFrame, labels: DataFrame, share: float | None = None, se
 
     `share` is the part of the documents with text that is taken; the target's
     share of the labelled ones if it isn't given, and all if none is labelled.
-    Null and empty texts and null ids are not sampled.  Rows that repeat an id
-    are one document, of the highest weight.  Ties go to the least doc_id.  An
-    empty table gives no rows; other columns are ignored."""
+    Null and empty texts and null ids are not sampled; a text without an n-gram
+    has weight 0, and one of any length the sum over all of its n-grams.  Rows
+    that repeat an id are one document, of the highest weight.  Ties go to the
+    least doc_id.  An empty table gives no rows; other columns are ignored."""
     rows, found = weights(docs, labels, seed=seed)
     rows = stored(rows, "weights")
     return top_k(rows, round(rows.count() * (found if share is None else share)))
