@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -275,3 +276,86 @@ def test_leaks_of_much_edited_copies(spark):
     edited = {(d, i) for d, i in want if d % 3}
     assert len(edited) > 60 and len(got & edited) >= 0.97 * len(edited)
     assert all(i == d // 3 for d, i in got)
+
+
+def test_copies_behind_short_quotes(spark):
+    rng = random.Random(31)
+    texts = {}
+    for group, (n, size, apart) in enumerate(((20, 25, 5), (11, 17, 10), (40, 38, 2), (0, 0, 0))):
+        passage = sentence(rng, 120).split()
+        for k in range(n):
+            at = k * apart % (120 - size)
+            texts[1000 * group + k] = f"{sentence(rng, 30)} {' '.join(passage[at : at + size])} {sentence(rng, 30)}"
+        for k in (100, 101):
+            texts[1000 * group + k] = f"{sentence(rng, 20)} {' '.join(passage)} {sentence(rng, 20)}"
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = defaultdict(set)
+    for r in chaining.passages(docs).collect():
+        got[r["doc_id"]] |= set(range(r["start_word"], r["end_word"]))
+    want = {r["doc_id"]: set(range(r["start_word"], r["end_word"])) for r in suffixes.repeated(docs).collect() if r["doc_id"] != r["source_id"]}
+    assert set(want) == {101, 1101, 2101, 3101} <= set(got)
+    assert all(want[d] <= got[d] for d in want)
+
+
+def test_weights_are_log_ratios_of_plain_counts(spark):
+    """Every document's weight, over a whole table, against counts in dictionaries."""
+    docs, labels = spark.read.parquet(f"{DATA}/documents.parquet"), spark.read.parquet(f"{DATA}/labels.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect() if r["text"]}
+    good = {r["doc_id"] for r in labels.collect() if r["quality"] == 1 and not r["toxic"]}
+    token = re.compile("[0-9A-Za-z\u0080-\U0010ffff]+|[^0-9A-Za-z\u0080-\U0010ffff\\x09-\\x0d\\x1c-\\x20]+")
+    number: dict = {}
+
+    def bucket(gram: str) -> int:
+        if gram not in number:
+            found, _ = resample.features(pa.array([gram]))
+            number[gram] = int(found[-1])  # the last is the pair, if there is one
+        return number[gram]
+
+    held = {}
+    for d, t in texts.items():
+        ws = token.findall(t)
+        held[d] = Counter(bucket(w) for w in ws) + Counter(bucket(f"{a} {b}") if a[0].isalnum() == b[0].isalnum() or ord(a[0]) > 127 or ord(b[0]) > 127 else bucket(a + b) for a, b in zip(ws, ws[1:], strict=False))
+    raw, target = sum(held.values(), Counter()), sum((h for d, h in held.items() if d in good), Counter())
+    n_raw, n_target = sum(raw.values()), sum(target.values())
+    share = n_target / n_raw
+
+    def ratio(b: int) -> float:
+        r = math.log(((target[b] + 0.5) / n_target) / ((raw[b] + 0.5 / share) / n_raw))
+        error = math.sqrt((1 - share) / (share * raw[b] + 0.5))
+        return math.copysign(max(0, abs(r) - resample.SURE * error), r)
+
+    got = {r["doc_id"]: r["log_weight"] for r in resample.weights(docs, labels)[0].collect()}
+    assert set(got) == set(texts)
+    for d, h in held.items():
+        assert got[d] == pytest.approx(sum(n * ratio(b) for b, n in h.items()), abs=1e-5)
+    k = round(len(texts) * len(good & {r["doc_id"] for r in labels.collect()}) / len({r["doc_id"] for r in labels.collect() if r["quality"] is not None}))
+    noisy = {d: got[d] + float(resample.gumbel(np.array([d]))[0]) for d in got}
+    assert {r["doc_id"] for r in resample.resampled(docs, labels).collect()} == set(sorted(noisy, key=lambda d: (-round(noisy[d], 6), d))[:k])
+
+
+def test_shards_are_those_of_a_plain_placing(spark):
+    """Every document's shard, over a whole table, against a loop over lists."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = {r["doc_id"]: r for r in docs.collect()}
+    order = sorted(rows)
+    words = split({d: rows[d]["text"] for d in order})
+    tokens = dict(zip(order, V.token_counts(pa.array([rows[d]["text"] for d in order]), sharding.VOCAB).tolist(), strict=True))
+    got = {r["doc_id"]: r for r in sharding.assigned(docs, shard_bytes=100_000, cell_shards=1000).collect()}
+    weight = {d: (len((rows[d]["text"] or "").encode()), tokens[d], 1) for d in order}
+    assert {d: (r["n_bytes"], r["n_tokens"], r["n_rows"]) for d, r in got.items()} == weight
+    shards = math.ceil(sum(w[0] for w in weight.values()) / 100_000)
+    groups = defaultdict(list)
+    for d in order:
+        groups[tuple(words[d])].append(d)
+    total = [sum(w[k] for w in weight.values()) for k in range(3)]
+    unit = {g: [sum(weight[d][k] for d in ds) / total[k] * shards for k in range(3)] for g, ds in groups.items()}
+    residual = [[1.0] * 3 for _ in range(shards)]
+    taken = {got[ds[0]]["shard"] for ds in groups.values()}
+    assert taken <= set(range(shards)) and all(len({got[d]["shard"] for d in ds}) == 1 for ds in groups.values())
+    key = {r["doc_id"]: r["cluster"] for r in bestfit.measured(docs).collect()}
+    for g in sorted(unit, key=lambda g: (-max(unit[g]), key[groups[g][0]])):
+        u, mine = unit[g], got[groups[g][0]]["shard"]
+        fits = [k for k in range(shards) if all(r >= x - 1e-9 for r, x in zip(residual[k], u, strict=True))] or list(range(shards))
+        best = max(sum(r * x for r, x in zip(residual[k], u, strict=True)) for k in fits)
+        assert mine in fits and sum(r * x for r, x in zip(residual[mine], u, strict=True)) == pytest.approx(best, rel=1e-6)
+        residual[mine] = [r - x for r, x in zip(residual[mine], u, strict=True)]
