@@ -5,14 +5,18 @@ distinct words, of one bit of the word's hash.  Two documents are near copies
 if their signatures differ in at most `radius` bits, and groups are the
 connected components of that relation; the least doc_id of a group stays.
 
-Candidates come from `tables` keys of `key_bits` sampled bits.  Inside a
-bucket the signatures are kept as bit planes (64 documents to a word), the
-distances of many pairs grow together in carry-save counters, and a block of
-64 pairs is dropped once all of its counters exceed the radius.
+Candidates come from `tables` keys of `key_bits` sampled bits, as many as it
+takes for a pair at the radius itself to share one with chance RECALL, whatever
+the number of documents.  Inside a bucket the signatures are kept as bit planes
+(64 documents to a word), the distances of many pairs grow together in
+carry-save counters, and a block of 64 pairs is dropped once all of its counters
+exceed the radius.  A bucket of more than LARGE signatures is dealt to several
+tasks, two parts of it at a time.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -22,13 +26,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import keyed_texts, load, map_text, parts, stored, without
-from .components import components
+from .common import PART_BYTES, keyed_texts, load, map_text, parts, stored, without
+from .components import components, spanning
 
 BITS = 256
 RADIUS = 46
+#: Least sampled bits of a key, and the chance that a pair at the radius shares one.
 KEY_BITS = 16
-TABLES = 32
+RECALL = 0.9
+#: Signatures of a bucket that one task compares.
+LARGE = 1 << 15
 _SIG = [f"s{i}" for i in range(BITS // 64)]
 _SALTS = np.random.default_rng(7).integers(1, 1 << 63, BITS // 64, dtype=np.uint64)
 #: Bucket sizes up to this are compared by shifts of the sorted planes, larger ones query by query.
@@ -39,11 +46,12 @@ QUERIES = 256
 
 def signatures(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(signature as (n, 4) uint64, number of distinct words) of each text."""
+    if len(col) >= 1 << 16:  # a text's number has 16 bits of a key
+        pieces = [signatures(col.slice(i, 1 << 15)) for i in range(0, len(col), 1 << 15)]
+        return tuple(np.concatenate(x) for x in zip(*pieces, strict=True))
     h, first, *_ = T.words(col)
     n = len(first) - 1
     own = T.owners(first)
-    if n >= 1 << 16:
-        raise ValueError("too many texts in a slice")
     key = T.distinct((own.astype(np.uint64) << np.uint64(48)) | (h >> np.uint64(16)))
     own = (key >> np.uint64(48)).astype(np.int64)
     count = np.bincount(own, minlength=n)
@@ -163,11 +171,11 @@ def bucket_pairs(sig: np.ndarray, bucket: np.ndarray, radius: int) -> Iterator[t
         tail[:] = ~np.uint64(0)
         if n % 64:
             tail[-1] = np.uint64((1 << (n % 64)) - 1)
-        flips = np.where(np.unpackbits(np.ascontiguousarray(sig[rows]).view(np.uint8).reshape(n, -1), axis=1), ~np.uint64(0), np.uint64(0))
         step = max(1, min(QUERIES, (1 << 16) // width))
         for q in range(0, n, step):
             many = min(step, n - q)
-            flip = flips[q : q + many]
+            bit = np.unpackbits(np.ascontiguousarray(sig[rows[q : q + many]]).view(np.uint8).reshape(many, -1), axis=1)
+            flip = np.where(bit, ~np.uint64(0), np.uint64(0))
 
             def rows_of(p, live, flip=flip, width=width, planes=planes):
                 return planes[p][live % width] ^ flip[:, p][live // width]
@@ -186,43 +194,25 @@ def bucket_pairs(sig: np.ndarray, bucket: np.ndarray, radius: int) -> Iterator[t
             yield rows[label[moved]], rows[moved]
 
 
-def spanning(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges from the least node of each component of (a, b) to its others."""
-    node, inverse = np.unique(np.concatenate([a, b]), return_inverse=True)
-    x, y = inverse[: len(a)], inverse[len(a) :]
-    label = np.arange(len(node))
-    while True:
-        low = np.minimum(label[x], label[y])
-        before = label.copy()
-        np.minimum.at(label, x, low)
-        np.minimum.at(label, y, low)
-        np.minimum.at(label, before, label.copy())
-        label = label[label]
-        if (label == before).all():
-            break
-    moved = np.flatnonzero(label != np.arange(len(node)))
-    return node[label[moved]], node[moved]
-
+def plan_tables(n: int, radius: int = RADIUS, recall: float = RECALL) -> tuple[int, int]:
+    """(bits of a key, number of keys) for n signatures.  Key bits grow with the
+    logarithm of n, so that a bucket's chance members stay some 2**10; the
+    number of keys follows, so that the recall at the radius does not change."""
+    bits = max(KEY_BITS, math.ceil(math.log2(max(2, n))) - 10)
+    share = math.prod((BITS - radius - i) / (BITS - i) for i in range(bits))
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - share))
 
-def plan_tables(n: int, key_bits: int | None = None, tables: int | None = None, radius: int = RADIUS) -> tuple[int, int]:
-    """Key bits grow with the logarithm of the number of signatures, so that
-    a bucket's chance members stay as few; the number of tables then keeps the
-    chance that a pair at three quarters of the radius shares a key."""
-    bits = key_bits or max(KEY_BITS, math.ceil(math.log2(max(2, n))) - 4)
-    share = 1 - 0.75 * radius / BITS
-    return bits, tables or max(TABLES, math.ceil(math.log(0.02) / math.log(1 - share**bits)))
 
-
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, key_bits: int | None = None, tables: int | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(doc_id, duplicate_of, distance): every document but the least of each
     group of near copies, the one that stays, and the bits in which their
     signatures differ (they may exceed the radius along a chain of copies).
 
     Null and empty texts, and texts without a word, have no signature and are
-    never copies.  Rows that repeat a doc_id count as one document, and a null
-    doc_id is in no group.  An empty table gives no rows; other columns are
-    ignored.  Ties don't arise: the least doc_id stays."""
-    spark = docs.sparkSession
+    never copies; one of any length has the signature of all its words.  Rows
+    that repeat a doc_id count as one document, and a null doc_id is in no
+    group.  An empty table gives no rows; other columns are ignored.  Ties don't
+    arise: the least doc_id stays."""
 
     def sign(batch: pa.RecordBatch) -> pa.RecordBatch:
         sig, count = signatures(batch.column("text"))
@@ -233,7 +223,8 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, key_bits: int | None
     schema = "doc_id bigint, " + ", ".join(f"{s} bigint" for s in _SIG)
     signed = stored(map_text(keyed_texts(docs), sign, schema), "simhash")
     reps = signed.groupBy(*_SIG).agg(F.min("doc_id").alias("rep"))
-    bits, many = plan_tables(signed.count(), key_bits, tables, radius)
+    n = signed.count()
+    bits, many = plan_tables(n, radius)
     sampled = np.stack([np.random.default_rng(1000 + t).choice(BITS, bits, replace=False) for t in range(many)])
 
     def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,16 +247,40 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, key_bits: int | None
         rep = table["rep"].to_numpy()
         sig = np.stack([table[s].to_numpy() for s in _SIG], 1).view(np.uint64)
         del table, held
+        order = np.argsort(bucket, kind="stable")
+        start = np.flatnonzero(np.r_[True, np.diff(bucket[order]) != 0])
+        size = np.diff(np.append(start, len(order)))
+        large = np.flatnonzero(size > LARGE)
+        rest = np.ones(len(bucket), bool)
+        for s, m in zip(start[large].tolist(), size[large].tolist(), strict=True):
+            # every two of its parts meet in some task
+            rows = order[s : s + m]
+            rest[rows] = False
+            parts_ = -(-m // (LARGE // 2))
+            for i, j in itertools.combinations(range(parts_), 2):
+                both = np.concatenate([rows[i::parts_], rows[j::parts_]])
+                key = T.signed(T.mix(bucket[both[:1]].view(np.uint64) + np.uint64(i << 20 | j)))[0]
+                yield pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64())] * 2 + [pa.array(np.full(len(both), key)), pa.array(rep[both]), *(pa.array(T.signed(sig[both, k])) for k in range(len(_SIG)))], _names)
+        rest = np.flatnonzero(rest)
         a, b = [], []
-        for i, j in bucket_pairs(sig, bucket, radius):
-            a.append(rep[i])
-            b.append(rep[j])
+        for i, j in bucket_pairs(sig[rest], bucket[rest], radius):
+            a.append(rep[rest[i]])
+            b.append(rep[rest[j]])
         if a:
             x, y = spanning(np.concatenate(a), np.concatenate(b))
-            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], ["a", "b"])
-
-    keyed = reps.select("rep", *_SIG).mapInArrow(keys, "bucket bigint, rep bigint, " + ", ".join(f"{s} bigint" for s in _SIG))
-    edges = keyed.repartition(parts(docs), "bucket").mapInArrow(compare, "a bigint, b bigint")
+            yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *[pa.nulls(len(x), pa.int64())] * (2 + len(_SIG))], _names)
+
+    key_schema = "bucket bigint, rep bigint, " + ", ".join(f"{s} bigint" for s in _SIG)
+    _names = ["a", "b", "bucket", "rep", *_SIG]
+    keyed = reps.select("rep", *_SIG).mapInArrow(keys, key_schema)
+    pieces = max(parts(docs), -(-n * many * 48 // PART_BYTES))
+    edges, todo = None, keyed
+    while todo is not None:
+        done = stored(todo.repartition(pieces, "bucket").mapInArrow(compare, f"a bigint, b bigint, {key_schema}"), "pairs")
+        own = done.where("a is not null").select("a", "b")
+        edges = own if edges is None else edges.unionByName(own)
+        todo = done.where("a is null").drop("a", "b")
+        todo = None if todo.isEmpty() else todo
     joined = components(edges).select(F.col("node").alias("rep"), "root")
     grouped = signed.join(reps, _SIG).join(joined, "rep", "left").select("doc_id", F.coalesce("root", "rep").alias("root"), *_SIG)
     one = grouped.groupBy("doc_id").agg(F.min("root").alias("root"), *(F.min_by(s, "root").alias(s) for s in _SIG))
