@@ -1,32 +1,41 @@
-"""Benchmark decontamination: n-gram seeds, then local alignment.
-
-All n-grams of an item are its seeds: which of them an edited copy keeps is not
-known before.  Wherever a document holds a seed, the window in which the item
-would lie is a candidate; windows with too few of the item's words for any
-alignment to reach the threshold are dropped, the others aligned with it by
-Smith-Waterman over words (match +2, mismatch -1, gap -1).  A passage whose
-score reaches `threshold` of the item's own score is a copy, also when words
-were changed, dropped or put in.
-
-The documents are scanned once, without a shuffle: items go to the executors in
-groups of at most `group_words` words, so what is broadcast has a fixed bound;
-a larger benchmark takes more groups, each with its own pass.
+"""Benchmark decontamination: rare n-gram seeds, then local alignment.
+
+An item's seeds are all of its n-grams that are rare in the corpus (which of
+them an edited copy keeps is not known before): those that at most FREQUENT of
+the documents hold.  An item of which fewer than half are rare, since it is
+itself in many documents, keeps them all.  Wherever a document holds a seed, the
+window in which the item would lie is a candidate; windows with too few of the
+item's words for any alignment to reach the threshold are dropped, the others
+aligned with it by Smith-Waterman over words (match +2, mismatch -1, gap -1).  A
+passage whose score reaches `threshold` of the item's own score, or that of
+EXCERPT words, is a copy, also when words were changed, dropped or put in.
+
+The documents are scanned twice, for the n-grams' counts and for the copies,
+without a shuffle of text: items go to the executors in groups of at most
+`group_words` words, so what is broadcast has a fixed bound; a larger benchmark
+takes more groups, each with its own passes.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import text as T
-from .common import keyed_texts, load, map_text, without
+from .common import bound_batches, keyed_texts, load, map_text, slices, without
 
 SEED = 3
 THRESHOLD = 0.4
-#: Items of fewer words are too short to tell a copy from chance.
+#: Shorter items are too short to tell an edited copy from chance: they are sought word for word.
 LEAST_WORDS = 8
+#: Words of a long item that are a copy, whatever its length.
+EXCERPT = 50
+#: An n-gram is frequent if more than this share of the documents holds it, and more than so many.
+FREQUENT, LEAST_FREQUENT = 0.001, 100
 GROUP_WORDS = 2_000_000
 MATCH, MISMATCH, GAP = 2, -1, -1
 #: Cells of the alignment matrix that are computed at once.
@@ -95,17 +104,40 @@ def align(pairs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.nd
 
 
 class Items:
-    """A group of benchmark items: words, and n-grams as seeds."""
+    """A group of benchmark items: words, and n-grams as seeds.
+
+    Items of fewer words than an n-gram have no seeds; they are kept apart, as
+    `whole`, from their words to their ids."""
 
     def __init__(self, ids: np.ndarray, words: np.ndarray, first: np.ndarray, n: int):
         self.ids, self.words, self.first, self.n = ids, words, first, n
+        size = np.diff(first)
+        self.whole: dict[tuple[int, ...], list[int]] = {}
+        for i in np.flatnonzero((size > 0) & (size < n)).tolist():
+            self.whole.setdefault(tuple(words[first[i] : first[i + 1]].tolist()), []).append(int(ids[i]))
         gram, at = T.shingles(words, first, n)
         item = T.owners(first)[at]
         order = np.argsort(gram, kind="stable")
-        self.seed_item, self.seed_place = item[order], (at - first[item])[order]
-        self.seed_gram, self.seed_from, self.seed_many = np.unique(gram[order], return_index=True, return_counts=True)
+        self._seeds(gram[order], item[order], (at - first[item])[order])
         self.vocabulary = T.distinct(worded(words, T.owners(first)))
 
+    def _seeds(self, gram: np.ndarray, item: np.ndarray, place: np.ndarray) -> None:
+        self.gram, self.seed_item, self.seed_place = gram, item, place
+        self.seed_gram, self.seed_from, self.seed_many = np.unique(gram, return_index=True, return_counts=True)
+
+    def without(self, frequent: np.ndarray) -> None:
+        """Drops the seeds that are among the n-grams given, but for items of which half or more are."""
+        gone = np.isin(self.gram, frequent)
+        lost = np.bincount(self.seed_item[gone], minlength=len(self.ids))
+        all_ = np.bincount(self.seed_item, minlength=len(self.ids))
+        keep = ~gone | (2 * lost >= all_)[self.seed_item]
+        self._seeds(self.gram[keep], self.seed_item[keep], self.seed_place[keep])
+
+    def need(self, threshold: float) -> np.ndarray:
+        """Words that must match, of each item."""
+        size = np.diff(self.first)
+        return np.where(size < LEAST_WORDS, size, np.minimum(threshold * size, EXCERPT)) - 1e-9
+
 
 def worded(words: np.ndarray, item: np.ndarray) -> np.ndarray:
     """Keys of (word, item)."""
@@ -159,7 +191,7 @@ def hits_to_windows(items: Items, h: np.ndarray, first: np.ndarray, n: int) -> t
 
 def hopeful(items: Items, h: np.ndarray, item: np.ndarray, low: np.ndarray, high: np.ndarray, threshold: float) -> np.ndarray:
     """Which windows hold enough of the item's words to reach the threshold if all of them matched."""
-    need = threshold * np.diff(items.first)[item]
+    need = items.need(threshold)[item]
     size = high - low
     out = np.zeros(len(item), bool)
     begin = 0
@@ -171,7 +203,7 @@ def hopeful(items: Items, h: np.ndarray, item: np.ndarray, low: np.ndarray, high
         own = np.repeat(np.arange(end - begin), n)
         word = np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low[begin:end], n)
         hit, _ = find(items.vocabulary, worded(h[word], item[begin:end][own]))
-        out[begin:end] = np.bincount(own[hit], minlength=end - begin) >= need[begin:end] - 1e-9
+        out[begin:end] = np.bincount(own[hit], minlength=end - begin) >= need[begin:end]
         begin = end
     return np.flatnonzero(out)
 
@@ -197,45 +229,73 @@ def _groups(benchmark: DataFrame, n: int, limit: int):
 
 def _items(ids: list[int], texts: list[str], n: int) -> Items:
     h, first, *_ = T.words(pa.array(texts, pa.large_string()))
-    size = np.diff(first)
-    keep = size >= LEAST_WORDS
-    words = h[np.repeat(keep, size)]
-    return Items(np.array(ids, np.int64)[keep], words, np.concatenate([[0], np.cumsum(size[keep])]), n)
+    return Items(np.array(ids, np.int64), h, first, n)
+
+
+def _frequent(plain: DataFrame, items: Items, n: int, limit: float) -> np.ndarray:
+    """The items' n-grams that more than `limit` documents hold."""
+    group = plain.sparkSession.sparkContext.broadcast(items.seed_gram)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams = group.value
+        seen = np.zeros(len(grams), np.int64)
+        for batch in batches:
+            for part in slices(batch):
+                h, first, *_ = T.words(part.column("text"))
+                gram, at = T.shingles(h, first, n)
+                hit, place = find(grams, gram)
+                one = T.distinct(T.owners(first)[at[hit]].astype(np.uint64) << np.uint64(40) | place.astype(np.uint64))
+                seen += np.bincount((one & np.uint64((1 << 40) - 1)).astype(np.int64), minlength=len(grams))
+        some = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[some])], ["gram", "docs"])
+
+    bound_batches(plain.sparkSession)
+    found = plain.select("text").mapInArrow(count, "gram bigint, docs bigint").groupBy("gram").agg(F.sum("docs").alias("docs")).where(F.col("docs") > limit)
+    return items.seed_gram[np.array([r["gram"] for r in found.collect()], np.int64)]
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED, threshold: float = THRESHOLD, group_words: int = GROUP_WORDS) -> DataFrame:
     """SCHEMA: documents and the items that they hold a copy of, the alignment's
     share of the item's full score, and the words of the best passage.
 
-    Null and empty texts on either side match nothing, nor do items of fewer
-    than LEAST_WORDS words; rows without an id are left out.  Rows that repeat
-    an id give one row for each item, with the best score, then the first
-    passage.  An empty table on either side gives no rows; other columns are
-    ignored."""
+    Items of fewer than LEAST_WORDS words must occur word for word, those of
+    fewer than n words as the document's only words.  Null and empty texts on
+    either side, and those without a word, match nothing; rows without an id
+    are left out.  Texts and items of any length are taken whole.  Rows that
+    repeat an id give one row for each item, with the best score, then the
+    first passage.  An empty table on either side gives no rows; other columns
+    are ignored."""
     spark = docs.sparkSession
     plain = keyed_texts(docs)
+    limit = max(LEAST_FREQUENT, FREQUENT * docs.count())
     found = None
     for items in _groups(benchmark, n, group_words):
-        if not len(items.seed_gram):
+        if len(items.seed_gram):
+            items.without(_frequent(plain, items, n, limit))
+        elif not items.whole:
             continue
         group = spark.sparkContext.broadcast(items)
 
         def score(batch: pa.RecordBatch, group=group) -> pa.RecordBatch | None:
             own = group.value
             h, first, *_ = T.words(batch.column("text"))
+            rows: list[tuple] = []
+            if own.whole:
+                for d in np.flatnonzero((np.diff(first) > 0) & (np.diff(first) < n)).tolist():
+                    rows += [(d, i, 1.0, 0, int(first[d + 1] - first[d])) for i in own.whole.get(tuple(h[first[d] : first[d + 1]].tolist()), [])]
             text, item, low, high = hits_to_windows(own, h, first, n)
             some = hopeful(own, h, item, low, high, threshold)
-            if not len(some):
+            if len(some):
+                text, item, low, high = text[some], item[some], low[some], high[some]
+                got, begin, end = align([(own.words[own.first[i] : own.first[i + 1]], h[a:b]) for i, a, b in zip(item.tolist(), low.tolist(), high.tolist(), strict=True)])
+                keep = np.flatnonzero(got >= MATCH * own.need(threshold)[item])
+                text, item, at = text[keep], item[keep], low[keep] - first[text[keep]]
+                share = np.round(got[keep] / (MATCH * np.diff(own.first)[item]), 6)
+                rows += zip(text.tolist(), own.ids[item].tolist(), share.tolist(), (at + begin[keep]).tolist(), (at + end[keep]).tolist(), strict=True)
+            if not rows:
                 return None
-            text, item, low, high = text[some], item[some], low[some], high[some]
-            got, begin, end = align([(own.words[own.first[i] : own.first[i + 1]], h[a:b]) for i, a, b in zip(item.tolist(), low.tolist(), high.tolist(), strict=True)])
-            share = got / (MATCH * np.diff(own.first)[item])
-            keep = np.flatnonzero(share >= threshold)
-            text, item, at = text[keep], item[keep], low[keep] - first[text[keep]]
-            return pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(pa.array(text)), pa.array(own.ids[item]), pa.array(np.round(share[keep], 6)), pa.array((at + begin[keep]).astype(np.int32)), pa.array((at + end[keep]).astype(np.int32))],
-                ["doc_id", "item_id", "score", "start_word", "end_word"],
-            )
+            text, ids, share, start, stop = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(text)), pa.array(ids, pa.int64()), pa.array(share, pa.float64()), pa.array(start, pa.int32()), pa.array(stop, pa.int32())], ["doc_id", "item_id", "score", "start_word", "end_word"])
 
         part = map_text(plain, score, SCHEMA)
         found = part if found is None else found.unionByName(part)

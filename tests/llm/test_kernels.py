@@ -2,11 +2,12 @@ import itertools
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from slitloom.llm import bestfit, bitpack, captures, chaining, decontaminate, resample, sharding, simhash, suffixes
+from slitloom.llm import bestfit, bitpack, captures, chaining, components, decontaminate, resample, sharding, simhash, suffixes
 
 
 @settings(max_examples=80, deadline=None)
@@ -44,10 +45,10 @@ def test_bit_sliced_pairs_are_those_of_brute_force(n):
     bucket = rng.integers(0, 3, n)
     distance = np.bitwise_count(sig[:, None] ^ sig[None]).sum(-1)
     near = np.triu((distance <= 46) & (bucket[:, None] == bucket[None]), 1)
-    want = [x.tolist() for x in simhash.spanning(*np.nonzero(near))]
+    want = [x.tolist() for x in components.spanning(*np.nonzero(near))]
     pairs = list(simhash.bucket_pairs(sig, bucket, 46))
     a, b = (np.concatenate(x) for x in zip(*pairs, strict=True)) if pairs else (np.zeros(0, int), np.zeros(0, int))
-    got = [x.tolist() for x in simhash.spanning(a, b)]
+    got = [x.tolist() for x in components.spanning(a, b)]
     assert sorted(zip(*got, strict=True)) == sorted(zip(*want, strict=True))
     assert (distance[a, b] <= 46).all() or n > simhash.SMALL
 
@@ -155,3 +156,23 @@ def test_gumbel_top_k_samples_in_proportion():
     for seed in range(3000):
         hits[(np.log([1, 2, 5]) + resample.gumbel(np.arange(3), seed)).argmax()] += 1
     assert np.abs(hits / 3000 - np.array([1, 2, 5]) / 8).max() < 0.03
+
+
+def test_signatures_of_very_many_short_texts():
+    texts = pa.array([f"w{i % 7}" for i in range(70_000)])
+    sig, count = simhash.signatures(texts)
+    small, _ = simhash.signatures(texts.slice(0, 7))
+    assert sig.shape == (70_000, 4) and (count == 1).all() and (sig.reshape(-1, 7, 4) == small).all()
+
+
+def test_keys_have_the_recall_that_is_stated():
+    rng = np.random.default_rng(3)
+    for n in (1000, 10**9):
+        bits, tables = simhash.plan_tables(n)
+        sampled = [rng.choice(simhash.BITS, bits, replace=False) for _ in range(tables)]
+        found = 0
+        for _ in range(400):
+            differ = np.zeros(simhash.BITS, bool)
+            differ[rng.choice(simhash.BITS, simhash.RADIUS, replace=False)] = True
+            found += any(not differ[s].any() for s in sampled)
+        assert found >= 0.86 * 400
