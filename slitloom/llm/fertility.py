@@ -5,7 +5,9 @@ per token and the entropy of the token distribution, a piece vocabulary with
 byte fallback the share of its tokens that are bare bytes.  Each language (or,
 where the language is unknown, each script) has its own rejection bands: the
 corpus median plus or minus `WIDTH` robust deviations, from counts over all
-documents.  Text that a language's own prose is not made of (symbol noise,
+documents.  A band leans on its parent's, that of the script, and this on that
+of all documents, as if the parent's were PRIOR documents more: bands of many
+documents are their own, those of a few nearly their parent's.  Text that a language's own prose is not made of (symbol noise,
 shouting, tables, repeated words) is cut into shorter or fewer kinds of token
 and leaves the band.
 """
@@ -29,8 +31,10 @@ WIDTH = 4.5
 HALF = 100.0
 #: Least robust deviation, in the metric's unit: a corpus of one template has none of its own.
 FLOOR = {"chars_per_token": 0.02, "byte_share": 0.004, "entropy": 0.05}
-#: A band needs as many documents; below, its script-wide parent is used, then none.
-LEAST = 30
+#: Documents that a band's parent counts as.
+PRIOR = 30
+#: The deviation that the band of all documents leans on, in the metric's unit: wide enough to reject no prose.
+PRIOR_SPREAD = {"chars_per_token": 1.0, "byte_share": 0.1, "entropy": 1.5}
 _STEP = 1000.0
 
 _SCRIPTS = ["latin", "greek", "cyrillic", "semitic", "indic", "cjk", "hangul", "other"]
@@ -100,11 +104,11 @@ _TWO_SIDED = {"chars_per_token": True, "byte_share": False, "entropy": True}
 
 
 def _stacked(rows: DataFrame) -> DataFrame:
-    """Each measurement under its language and under its script: (_CELL, x, tokens)."""
+    """Each measurement under its language, its script and all documents: (_CELL, x, tokens)."""
     cells = []
     for metric in FLOOR:
         octave = F.col("octave") if metric == "entropy" else F.lit(0)
-        for level, key in (("band", F.col("band")), ("wide", F.col("wide"))):
+        for level, key in (("band", F.col("band")), ("wide", F.col("wide")), ("all", F.lit(""))):
             cells.append(F.struct(F.lit(metric).alias("metric"), F.lit(level).alias("level"), key.alias("key"), octave.alias("octave"), F.col(metric).alias("x")))
     return rows.select("n_tokens", F.explode(F.array(*cells)).alias("c")).select("c.*", F.col("n_tokens").alias("tokens")).where("x is not null")
 
@@ -118,30 +122,50 @@ def _median(values: DataFrame) -> DataFrame:
 
 
 def bands(rows: DataFrame) -> DataFrame:
-    """(level, key, limits): for each language and script a map from metric
-    and octave to the centre and spread of its band, over all documents: the
-    median and the median deviation scaled by the text's sampling error, from
-    histograms of steps of 1/1000.  Bands of fewer than LEAST documents are
-    left out."""
+    """(level, key, limits): for each language, each script and all documents a
+    map from metric and octave to the centre and spread of its band and the
+    number of its documents: the median and the median deviation scaled by the
+    text's sampling error, from histograms of steps of 1/1000."""
     values = _stacked(rows)
     centre = stored(_median(values.withColumn("v", F.round(F.col("x") * _STEP))).withColumnRenamed("v", "centre"), "centres")
     off = values.join(centre, _CELL).withColumn("v", F.round(F.abs(F.col("x") * _STEP - F.col("centre")) / F.sqrt(1 + HALF / F.greatest(F.col("tokens"), F.lit(1)))))
     spread = _median(off).drop("docs")
     floor = F.element_at(F.create_map(*(F.lit(y) for x in FLOOR.items() for y in x)), F.col("metric"))
-    named = centre.where(F.col("docs") >= LEAST).join(spread, _CELL)
-    entry = F.struct(F.concat_ws(":", "metric", "octave"), F.struct((F.col("centre") / _STEP).alias("centre"), F.greatest(F.col("v") * 1.4826 / _STEP, floor).alias("spread")))
+    named = centre.join(spread, _CELL)
+    entry = F.struct(F.concat_ws(":", "metric", "octave"), F.struct((F.col("centre") / _STEP).alias("centre"), F.greatest(F.col("v") * 1.4826 / _STEP, floor).alias("spread"), F.col("docs").cast("double").alias("docs")))
     return named.groupBy("level", "key").agg(F.map_from_entries(F.collect_list(entry)).alias("limits"))
 
 
+def leaning(own: tuple[float, float, float], parent: tuple[float, float]) -> tuple[float, float]:
+    """(centre, spread) of a band (centre, spread, documents) that leans on its parent."""
+    centre, spread, docs = own
+    return (docs * centre + PRIOR * parent[0]) / (docs + PRIOR), (docs * spread + PRIOR * parent[1]) / (docs + PRIOR)
+
+
+def whole_bands(found: DataFrame) -> dict[str, tuple[float, float]]:
+    """(centre, spread) of the bands of all documents, by metric and octave: one of
+    an octave of entropy leans on the octave's before it, the others on PRIOR_SPREAD."""
+    row = found.where("level = 'all'").first()  # a few numbers for each power of two
+    out: dict[str, tuple[float, float]] = {}
+    parent: dict[str, tuple[float, float]] = {}
+    for name in sorted(row["limits"] if row else {}, key=lambda x: (x.split(":")[0], int(x.split(":")[1]))):
+        metric, own = name.split(":")[0], row["limits"][name]
+        wide = leaning((own["centre"], own["spread"], own["docs"]), (own["centre"], PRIOR_SPREAD[metric]))
+        out[name] = leaning((own["centre"], own["spread"], own["docs"]), parent[metric]) if metric in parent else wide
+        parent[metric] = out[name]
+    return out
+
+
 def judged(docs: DataFrame, folder: str = V.TOKENIZER_DIR, width: float = WIDTH) -> DataFrame:
     """metrics() and `kept`: whether all three metrics lie in their bands.
 
     Characters per token and entropy are banded on both sides, byte share
     above only.  Entropy grows with length, so its bands are by language and
-    power of two of the token count.  A band of fewer than LEAST documents
-    gives way to the one of its script, and that to no limit: a table of fewer
-    than LEAST documents loses only texts without tokens.  Null and empty
-    texts have no tokens and are rejected."""
+    power of two of the token count.  Null and empty texts have no tokens and
+    are rejected; a text of any length is measured whole.  Rows that repeat
+    are judged one by one and alike, and count for the bands each; a null
+    doc_id is judged too.  A value on a band's limit is rejected.  An empty
+    table gives no rows; other columns are ignored."""
     rows = stored(metrics(docs, folder), "fertility")
     rows = rows.select(
         "*",
@@ -155,18 +179,25 @@ def judged(docs: DataFrame, folder: str = V.TOKENIZER_DIR, width: float = WIDTH)
     for level in ("band", "wide"):
         own = found.where(F.col("level") == level).select(F.col("key").alias(level), F.col("limits").alias(f"{level}_limits"))
         out = out.join(own, level, "left")
+    whole = whole_bands(found)
+    whole_limits = F.create_map(*(F.lit(x) for name, (centre, spread) in whole.items() for x in (name, [centre, spread]))) if whole else F.lit(None).cast("map<string,array<double>>")
     ok = F.col("n_tokens") > 0
     for metric, both in _TWO_SIDED.items():
         name = F.concat_ws(":", F.lit(metric), F.col("octave") if metric == "entropy" else F.lit("0"))
-        limit = F.coalesce(F.try_element_at("band_limits", name), F.try_element_at("wide_limits", name))
-        z = (F.col(metric) - limit["centre"]) / (limit["spread"] * F.sqrt(1 + HALF / F.greatest(F.col("n_tokens"), F.lit(1))))
+        limit = F.try_element_at(whole_limits, name)
+        centre, spread = limit[0], limit[1]
+        for level in ("wide", "band"):
+            own = F.try_element_at(f"{level}_limits", name)
+            n = F.coalesce(own["docs"], F.lit(0.0))
+            centre = (n * F.coalesce(own["centre"], F.lit(0.0)) + PRIOR * centre) / (n + PRIOR)
+            spread = (n * F.coalesce(own["spread"], F.lit(0.0)) + PRIOR * spread) / (n + PRIOR)
+        z = (F.col(metric) - centre) / (spread * F.sqrt(1 + HALF / F.greatest(F.col("n_tokens"), F.lit(1))))
         ok = ok & F.coalesce((F.abs(z) if both else z) < width, F.lit(True))
     return out.select("doc_id", "band", "n_tokens", "chars_per_token", "byte_share", "entropy", ok.alias("kept"))
 
 
 def fertile(docs: DataFrame, folder: str = V.TOKENIZER_DIR) -> DataFrame:
-    """The measurements of the documents that stay (see judged).  Rows that
-    repeat are judged one by one and alike; a null doc_id is judged too."""
+    """The measurements of the documents that stay (see judged)."""
     return judged(docs, folder).where("kept").select("doc_id", "band", "n_tokens", *(F.round(m, 9).alias(m) for m in ("chars_per_token", "byte_share", "entropy")))
 
 
