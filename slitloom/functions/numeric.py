@@ -99,28 +99,35 @@ def robust_trend(v: np.ndarray, half: int, sigma: float) -> np.ndarray:
     return smooth(running_median(v, half), sigma)
 
 
-def loess(v: np.ndarray, window: int, rounds: int = 2, x: np.ndarray | None = None) -> np.ndarray:
-    """Local quadratic with tricube weights and Tukey reweighting, at each place.
-    All places are solved together: moments of a sliding window, 3x3 systems."""
+def loess(v: np.ndarray, window: int, rounds: int = 3) -> np.ndarray:
+    """Local quadratic with tricube weights, at each place, reweighted by Tukey's
+    biweight with the median residual of the place's own window.  All places
+    are solved together, as 3x3 systems; one that has no fit keeps its value."""
     v = np.asarray(v, float)
     n, half = len(v), max(window // 2, 3)
     offset = np.arange(-half, half + 1)
-    tri = (1 - (np.abs(offset) / (half + 1)) ** 3) ** 3
-    basis = np.stack([np.ones_like(offset), offset / half, (offset / half) ** 2], 1).astype(float)
     at = np.arange(n)[:, None] + offset
     inside = (at >= 0) & (at < n)
-    at = np.clip(at, 0, n - 1)
-    robust = np.ones(n)
-    out = v.copy()
-    for _ in range(rounds + 1):
-        w = tri * inside * robust[at]
+    y = v[np.clip(at, 0, n - 1)]
+    base = np.maximum((1 - (np.abs(offset) / (half + 1)) ** 3) ** 3, 1e-6) * inside
+    basis = np.stack([np.ones_like(offset), offset / half, (offset / half) ** 2], 1).astype(float)
+    w, fitted = base, np.ones(n, bool)
+    for k in range(rounds + 1):
+        fitted &= (w > 0).sum(1) >= 3
         a = np.einsum("nk,ki,kj->nij", w, basis, basis) + np.eye(3) * 1e-12
-        b = np.einsum("nk,ki,nk->ni", w, basis, v[at])
-        out = np.linalg.solve(a, b[..., None])[:, 0, 0]
-        r = v - out
-        u = r / (TUKEY * max(1.4826 * median(np.abs(r)), 1e-9))
-        robust = np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0) + 1e-6
-    return out
+        c = np.linalg.solve(a, np.einsum("nk,ki,nk->ni", w, basis, y)[..., None])[..., 0]
+        if k < rounds:
+            rest = y - c @ basis.T
+            with np.errstate(all="ignore"):
+                spread = np.nanmedian(np.where(inside, np.abs(rest), np.nan), axis=1)
+            u = rest / (TUKEY * 1.4826 * np.maximum(spread, 1e-9))[:, None]
+            w = base * np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0)
+    return np.where(fitted, c[:, 0], v)
+
+
+def soft_deadband(x: np.ndarray, width: float) -> np.ndarray:
+    """x drawn towards 0 by width, and 0 within it."""
+    return np.sign(x) * np.maximum(np.abs(x) - width, 0)
 
 
 def savgol(v: np.ndarray, window: int) -> np.ndarray:

@@ -19,42 +19,50 @@ def column_flux(img: np.ndarray, least: int = 30) -> np.ndarray:
 
 def transparency_gains(flux: np.ndarray, deadband: float = 0.012) -> np.ndarray:
     """Gain of each column: its flux over a robust trend of 121 columns, within
-    .7 to 1.06, tapered where columns are unmeasured, 1 within the deadband."""
+    .7 to 1.06, drawn to 1 by the deadband.  It tapers where the local flux is
+    under .55 of the trend's maximum, to nothing at .35; columns without a
+    measurement have 1, and all have with fewer than 20 measured."""
     good = np.isfinite(flux)
-    if good.sum() < 30:
+    if good.sum() < 20:
         return np.ones(len(flux))
     filled = N.nearest_fill(flux)
-    gain = np.clip(filled / np.maximum(N.loess(filled, 121), 1e-9), 0.7, 1.06)
-    at = np.flatnonzero(good)
-    edge = np.clip(np.minimum(np.arange(len(flux)) - at[0], at[-1] - np.arange(len(flux))) / 20.0, 0, 1)
-    gain = 1 + (gain - 1) * edge
-    return np.where(np.abs(gain - 1) <= deadband, 1.0, gain)
+    trend = N.loess(filled, 121)
+    local = N.robust_trend(filled, 4, 3.0)
+    taper = np.clip((local / max(trend.max(), 1e-9) - 0.35) / 0.2, 0, 1)
+    raw = np.clip(filled / np.where(trend > 1e-9, trend, np.inf), 0.7, 1.06)
+    return np.where(good & (trend > 1e-9), 1 + N.soft_deadband(taper * (raw - 1), deadband), 1.0)
 
 
 def divide_columns(img: np.ndarray, gain: np.ndarray) -> np.ndarray:
     return img / np.where(np.abs(gain - 1) > 1e-4, gain, 1.0)[None]
 
 
-def row_gains(img: np.ndarray, window: int, deadband: float = 0.004) -> np.ndarray:
-    """Gain of each row: median of its lit pixels over a robust trend."""
+def row_gains(img: np.ndarray, window: int, deadband: float = 0.004) -> np.ndarray | None:
+    """Gain of each row: median of its lit pixels over a robust trend, within .8
+    to 1.25, drawn to 1 by the deadband.  Rows of fewer than 41 lit pixels or of
+    a chord under .45 of the longest have 1; the others taper to 1 over the
+    window's rows (12 at least) at both ends of the measured ones.  None with
+    fewer than 40 measured rows."""
     lit = img > disk_threshold(img)
     chord = lit.sum(1)
-    good = (chord > 40) & (chord >= 0.45 * chord.max())
-    if good.sum() < 30:
-        return np.ones(img.shape[0])
+    good = (chord > 40) & (chord >= int(0.45 * chord.max()))
+    if good.sum() < 40:
+        return None
     flux = np.array([np.median(img[y, lit[y]]) if good[y] else np.nan for y in range(img.shape[0])])
     filled = N.nearest_fill(flux)
-    gain = np.clip(filled / np.maximum(N.loess(filled, window), 1e-9), 0.8, 1.25)
-    at = np.flatnonzero(good)
-    edge = np.clip(np.minimum(np.arange(len(gain)) - at[0], at[-1] - np.arange(len(gain))) / 12.0, 0, 1)
-    gain = 1 + (gain - 1) * edge
-    return np.where(np.abs(gain - 1) <= deadband, 1.0, gain)
+    trend = N.loess(filled, window | 1)
+    at, y = np.flatnonzero(good), np.arange(len(flux))
+    edge = np.clip(np.minimum(y - at[0], at[-1] - y) / max(window, 12.0), 0, 1)
+    raw = np.clip(filled / np.where(trend > 1e-6, trend, np.inf), 0.8, 1.25)
+    return np.where(good & (trend > 1e-6), 1 + N.soft_deadband(edge * (raw - 1), deadband), 1.0)
 
 
 def correct_rows(img: np.ndarray, deadband: float = 0.004) -> np.ndarray:
     """Dust stripes at two scales, 17 rows and 61."""
     for window in (17, 61):
         gain = row_gains(img, window, deadband)
+        if gain is None:
+            return img
         img = img / np.where(np.abs(gain - 1) > 1e-4, gain, 1.0)[:, None]
     return img
 

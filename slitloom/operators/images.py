@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -94,13 +96,49 @@ def quadratic_moments(pairs: DataFrame, u: str, v: str, value: str, by: Sequence
     return pairs.groupBy(*by).agg(*aggs)
 
 
+_GRAM = "n bigint, mean array<double>, gram array<double>"
+
+
+def _joined_grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Counts, means and centred Gram matrices of several parts as those of their union."""
+    n, mean, gram = 0, None, None
+    for pdf in frames:
+        for m, u, g in zip(pdf["n"].tolist(), pdf["mean"], pdf["gram"], strict=True):
+            u, g = np.asarray(u), np.asarray(g)
+            if mean is None:
+                n, mean, gram = m, u, g
+                continue
+            d = u - mean
+            gram = gram + g + np.outer(d, d).ravel() * (n * m / (n + m))
+            mean = mean + d * (m / (n + m))
+            n += m
+    if mean is not None:
+        yield pd.DataFrame({"n": [n], "mean": [mean.tolist()], "gram": [gram.tolist()]})
+
+
 def covariance(vectors: DataFrame, column: str, sample: Column | None = None) -> DataFrame:
-    """(i, j, cov) of the upper triangle of the population covariance of an array column."""
+    """(i, j, cov) of the upper triangle of the population covariance of an
+    array column of one length: each task gives one centred Gram matrix, and
+    these are joined in two steps.  Null vectors are left out."""
     rows = vectors.where(sample) if sample is not None else vectors
-    rows = rows.select(F.monotonically_increasing_id().alias("_r"), F.col(column).cast("array<double>").alias("_v"))
-    a = rows.select("_v", F.posexplode("_v").alias("i", "p"))
-    pairs = a.select("i", "p", F.posexplode("_v").alias("j", "q")).where("j >= i")
-    return pairs.groupBy("i", "j").agg((F.avg(F.col("p") * F.col("q")) - F.avg("p") * F.avg("q")).alias("cov"))
+    rows = rows.select(F.col(column).cast("array<double>").alias("_v")).where("_v is not null")
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if batch.num_rows:
+                x = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+                mean = x.mean(0)
+                yield pd.DataFrame({"n": [len(x)], "mean": [mean], "gram": [((x - mean).T @ (x - mean)).ravel()]})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pdf in _joined_grams(grams(batches)):
+            yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
+
+    partial = rows.mapInArrow(run, _GRAM)
+    whole = partial.repartition(32).mapInPandas(_joined_grams, _GRAM).repartition(1).mapInPandas(_joined_grams, _GRAM)
+    cells = whole.select("n", F.size("mean").alias("d"), F.posexplode("gram").alias("k", "g"))
+    i, j = F.floor(F.col("k") / F.col("d")).cast("int"), (F.col("k") % F.col("d")).cast("int")
+    return cells.select(i.alias("i"), j.alias("j"), (F.col("g") / F.col("n")).alias("cov")).where("j >= i")
 
 
 def halo_blocks(columns: DataFrame, kernel: Callable[[pd.DataFrame, int, int], pd.DataFrame], schema: str, width: int, block: int, halo: int, by: Sequence[str] = ()) -> DataFrame:

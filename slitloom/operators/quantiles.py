@@ -18,17 +18,30 @@ def nearest_rank(value: Column, p: float) -> Column:
     return F.element_at(kept, (F.round(F.lit(p / 100.0) * (F.count(value) - 1)) + 1).cast("int"))
 
 
+#: Steps between a group's least and greatest value within each of which ranks are counted apart.
+STEPS = 4096
+
+
 def global_nearest_rank(df: DataFrame, value: str, ps: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by..., p, value) of whole tables: distinct values are counted in
-    parallel and only their running counts are ordered, one row for each
-    distinct value, so no group has to fit an array."""
+    parallel, then how many lie below each of STEPS steps of the group's range,
+    and the values of a step are ranked among themselves.  No group has to fit
+    an array, and no window holds more than a step's distinct values."""
     keys = list(by)
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("n"))
-    own = Window.partitionBy(*keys) if keys else Window.partitionBy(F.lit(0))
-    ranked = counts.withColumn("upto", F.sum("n").over(own.orderBy(value))).withColumn("total", F.sum("n").over(own))
+    ends = counts.groupBy(*keys).agg(F.min(value).alias("_low"), F.max(value).alias("_high"), F.sum("n").alias("_total"))
+    with_ends = counts.join(ends, keys) if keys else counts.crossJoin(F.broadcast(ends))  # one row
+    part = (F.col(value) - F.col("_low")) / F.greatest(F.col("_high") - F.col("_low"), F.lit(1e-300))
+    stepped = with_ends.withColumn("_step", F.least(F.floor(part * STEPS), F.lit(STEPS - 1)))
+    own = Window.partitionBy(*keys, "_total").orderBy("_step")
+    sums = stepped.groupBy(*keys, "_total", "_step").agg(F.sum("n").alias("_in"))
+    sums = sums.withColumn("_below", F.sum("_in").over(own) - F.col("_in"))
     wanted = F.explode(F.array(*(F.lit(float(p)) for p in ps)))
-    rows = ranked.select(*keys, value, "upto", "total", wanted.alias("p"))
-    return rows.where(F.col("upto") > F.round(F.col("p") / 100.0 * (F.col("total") - 1))).groupBy(*keys, "p").agg(F.min(value).alias(value))
+    rank = F.round(F.col("p") / 100.0 * (F.col("_total") - 1))
+    steps = sums.withColumn("p", wanted).where((rank >= F.col("_below")) & (rank < F.col("_below") + F.col("_in"))).select(*keys, "p", "_step", (rank - F.col("_below")).alias("_rank"))
+    inside = stepped.join(steps if keys else F.broadcast(steps), [*keys, "_step"])  # without keys a row for each p
+    ranked = inside.withColumn("_upto", F.sum("n").over(Window.partitionBy(*keys, "p").orderBy(value)))
+    return ranked.where(F.col("_upto") > F.col("_rank")).groupBy(*keys, "p").agg(F.min(value).alias(value))
 
 
 def median(value: Column) -> Column:

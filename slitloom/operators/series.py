@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from ..functions.numeric import evaluate, fit_robust
 from .quantiles import median
 
 
@@ -136,10 +138,10 @@ def stencil(df: DataFrame, value: str, x: str, lag: int, by: Sequence[str] = ())
 def neighbour_prediction(df: DataFrame, value: str, bad: str, x: str, within: int, by: Sequence[str] = (), name: str = "predicted") -> DataFrame:
     """Bad places from up to two good neighbours a side within `within`, by
     Lagrange's polynomial through them; null with fewer than two."""
-    good = df.where(~F.col(bad)).select(*by, F.col(x).alias("gx"), F.col(value).alias("gv"))
-    wrong = df.where(F.col(bad)).select(*by, F.col(x).alias("_x"))
-    near = wrong.join(good, list(by)) if by else wrong.crossJoin(good)
-    near = near.where((F.abs(F.col("gx") - F.col("_x")) <= within))
+    cell = F.floor(F.col(x) / within)
+    good = df.where(~F.col(bad)).select(*by, F.col(x).alias("gx"), F.col(value).alias("gv"), cell.alias("_cell"))
+    wrong = df.where(F.col(bad)).select(*by, F.col(x).alias("_x"), F.explode(F.array(cell - 1, cell, cell + 1)).alias("_cell"))
+    near = wrong.join(good, [*by, "_cell"]).where(F.abs(F.col("gx") - F.col("_x")) <= within)
     side = Window.partitionBy(*by, "_x", F.col("gx") > F.col("_x")).orderBy(F.abs(F.col("gx") - F.col("_x")))
     kept = near.withColumn("rn", F.row_number().over(side)).where("rn <= 2")
     points = kept.groupBy(*by, "_x").agg(F.array_sort(F.collect_list(F.struct("gx", "gv"))).alias("p"))
@@ -174,19 +176,22 @@ def gaussian_join(df: DataFrame, value: str, x: str, n: int, sigma: float, by: S
 
 
 def moving_quadratic(df: DataFrame, value: str, x: str, half: int, by: Sequence[str] = (), name: str = "fit") -> DataFrame:
-    """Centre value of an unweighted quadratic through the `half` places on
-    each side, where the window is whole; the value itself at the ends."""
-    w = along(by, x).rowsBetween(-half, half)
-    h = float(half)
-    n = 2 * h + 1
-    s2 = 2 * sum(i**2 for i in range(1, half + 1))
-    s4 = 2 * sum(i**4 for i in range(1, half + 1))
-    whole = F.count(value).over(w) == n
-    # sums of (x' - x)^2 v over the window, from moments about 0
-    v = F.col(value)
-    m0, m1, m2 = F.sum(v).over(w), F.sum(v * F.col(x)).over(w), F.sum(v * F.col(x) * F.col(x)).over(w)
-    t2 = m2 - 2 * F.col(x) * m1 + F.col(x) * F.col(x) * m0
-    return df.withColumn(name, F.when(whole, (F.lit(s4) * m0 - F.lit(s2) * t2) / (n * s4 - s2**2)).otherwise(v))
+    """Centre value of an unweighted quadratic through the up to `half` places
+    on each side of gap-free integer x; at the ends through those there are.
+    The value itself where they are fewer than three."""
+    own = along(by, x)
+    w = own.rowsBetween(-half, half)
+    before, after = F.count(value).over(own.rowsBetween(-half, -1)).cast("double"), F.count(value).over(own.rowsBetween(1, half)).cast("double")
+    powers = (lambda m: m * (m + 1) / 2, lambda m: m * (m + 1) * (2 * m + 1) / 6, lambda m: F.pow(m * (m + 1) / 2, F.lit(2)), lambda m: m * (m + 1) * (2 * m + 1) * (3 * m * m + 3 * m - 1) / 30)
+    s1, s2, s3, s4 = (p(after) + (-1) ** (k + 1) * p(before) for k, p in enumerate(powers))
+    s0 = before + after + 1
+    # sums of (x' - x)^k v over the window, from moments about 0
+    v, at = F.col(value), F.col(x)
+    m0, m1, m2 = F.sum(v).over(w), F.sum(v * at).over(w), F.sum(v * at * at).over(w)
+    t1, t2 = m1 - at * m0, m2 - 2 * at * m1 + at * at * m0
+    top = m0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)
+    bottom = s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)
+    return df.withColumn(name, F.when(s0 >= 3, top / bottom).otherwise(v))
 
 
 def split_half_shrink(df: DataFrame, a: str, b: str, by: Sequence[str] = ()) -> DataFrame:
@@ -207,8 +212,18 @@ def evidence(df: DataFrame, modes: dict[str, float], width: int, by: Sequence[st
     return df.groupBy(*by).agg(*counts).withColumn("evident", any_)
 
 
-def detrended(df: DataFrame, value: str, x: str, half: int, by: Sequence[str] = (), name: str = "residual") -> DataFrame:
-    return running_median(df, value, x, half, by, "_trend").withColumn(name, F.col(value) - F.col("_trend")).drop("_trend")
+def detrended(df: DataFrame, value: str, x: str, by: Sequence[str] = (), name: str = "residual") -> DataFrame:
+    """(by..., x, name): the series without its robust line, one task a series."""
+    types = dict(df.dtypes)
+    plain = df.select(*by, x, F.col(value).cast("double").alias(value))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        at, v = pdf[x].to_numpy(float), pdf[value].to_numpy(float)
+        line = fit_robust(at[np.isfinite(v)], v[np.isfinite(v)], 1)
+        return pdf[[*by, x]].assign(**{name: v - (evaluate(line, at) if line is not None else 0.0)})
+
+    schema = ", ".join([*(f"{c} {types[c]}" for c in (*by, x)), f"{name} double"])
+    return plain.groupBy(*by).applyInPandas(run, schema)
 
 
 def medians(df: DataFrame, value: str, by: Sequence[str], least: int, name: str) -> DataFrame:

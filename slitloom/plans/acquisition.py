@@ -346,7 +346,7 @@ def gaussian_series(spark, sf_dir):
     return _round(R.gaussian_join(d, "v", "x", n, 2.0), "smooth")
 
 
-@query(f"with {_PIX}, f as (select row_number() over (order by x)::int as x, median(v) as v from pix group by x), w as (select a.x, a.v, count(b.x) as n, sum(b.v) as m0, sum(b.v * pow(b.x - a.x, 2)) as t2 from f a join f b on abs(b.x - a.x) <= 5 group by a.x, a.v) select x, round(case when n = 11 then (1958 * m0 - 110 * t2) / (11 * 1958 - 110 * 110) else v end, 4) as fit from w")
+@query(f"with {_PIX}, f as (select row_number() over (order by x)::int as x, median(v) as v from pix group by x), d as (select a.x, a.v, b.x - a.x as d, b.v as w from f a join f b on abs(b.x - a.x) <= 5), w as (select x, v, count(*) as s0, sum(d) as s1, sum(d ** 2) as s2, sum(d ** 3) as s3, sum(d ** 4) as s4, sum(w) as t0, sum(w * d) as t1, sum(w * d * d) as t2 from d group by x, v) select x, round(case when s0 < 3 then v else (t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2)) / (s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s2 * s3) + s2 * (s1 * s3 - s2 * s2)) end, 4) as fit from w")
 def moving_quadratic(spark, sf_dir):
     f = R.medians(pixels(spark, sf_dir), "v", ["x"], 0, "v")
     f = f.select(F.row_number().over(R.along([], "x")).alias("x"), "v")

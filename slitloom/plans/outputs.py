@@ -49,10 +49,10 @@ def append_ledger(scores: DataFrame, path: str) -> None:
     scores.coalesce(1).write.mode("append").json(path)
 
 
-def diagnostics(estimated: DataFrame, truth: DataFrame, value: str, x: str = "frame", half: int = 20) -> DataFrame:
-    """(n, rms, correlation) of an estimated against a true series, both without their slow part."""
-    est = detrended(estimated.select(x, value), value, x, half, name="_e").select(x, "_e")
-    true = detrended(truth.select(x, value), value, x, half, name="_t").select(x, "_t")
+def diagnostics(estimated: DataFrame, truth: DataFrame, value: str, x: str = "frame") -> DataFrame:
+    """(n, rms, correlation) of an estimated against a true series, both without their robust line."""
+    est = detrended(estimated, value, x, name="_e")
+    true = detrended(truth, value, x, name="_t")
     d = F.col("_e") - F.col("_t")
     return est.join(true, x).agg(F.count("*").alias("n"), F.sqrt(F.avg(d * d)).alias("rms"), F.corr("_e", "_t").alias("correlation"))
 

@@ -275,3 +275,73 @@ def test_limb_offsets_find_a_shifted_column_band():
     pts[(pts[:, 0] > 150) & (pts[:, 0] < 165), 0] += 0.0
     e = G.fit_ellipse(pts)
     assert np.abs(G.limb_x_offsets(pts, e, 400)).max() < 0.1
+
+
+def _fit(x, y, w):
+    ok = w > 0
+    if ok.sum() < 3:
+        return None
+    root = np.sqrt(w[ok])
+    return np.linalg.lstsq(np.vander(x[ok], 3, increasing=True) * root[:, None], y[ok] * root, rcond=None)[0]
+
+
+def _plain_loess(v, window, rounds=3):
+    """One window after another, each with its own residuals' median."""
+    half, out = max(window // 2, 3), v.copy()
+    for i in range(len(v)):
+        lo, hi = max(0, i - half), min(len(v), i + half + 1)
+        x, y = np.arange(lo, hi) - float(i), v[lo:hi]
+        base = np.maximum((1 - np.abs(x / (half + 1)) ** 3) ** 3, 1e-6)
+        c = _fit(x, y, base)
+        for _ in range(rounds):
+            if c is None:
+                break
+            rest = y - np.vander(x, 3, increasing=True) @ c
+            u = rest / (4.685 * 1.4826 * max(np.median(np.abs(rest)), 1e-9))
+            c = _fit(x, y, base * np.where(np.abs(u) < 1, (1 - u * u) ** 2, 0))
+        if c is not None:
+            out[i] = c[0]
+    return out
+
+
+def test_loess_is_that_of_single_windows():
+    rng = np.random.default_rng(5)
+    x = np.arange(300.0)
+    v = 1000 - 0.02 * (x - 140) ** 2 + rng.normal(0, 2, 300)
+    v[60:75] -= 150  # a cloud here must not change what is rejected there
+    v[200] += 400
+    for window in (7, 17, 61, 121):
+        assert np.allclose(N.loess(v, window), _plain_loess(v, window), rtol=1e-6, atol=1e-5)
+    assert np.allclose(N.loess(np.array([3.0, 1.0]), 17), [3, 1])
+
+
+def test_gains_are_those_of_plain_formulas():
+    rng = np.random.default_rng(6)
+    x = np.arange(240.0)
+    flux = 900 * np.sqrt(np.maximum(0, 1 - ((x - 120) / 110) ** 2)) * (1 + 0.05 * np.sin(x / 3)) + rng.normal(0, 1, 240)
+    flux[(x < 12) | (x > 228)] = np.nan
+    flux[[50, 51]] = np.nan
+    filled = N.nearest_fill(flux)
+    trend, local = _plain_loess(filled, 121), N.robust_trend(filled, 4, 3.0)
+    want = np.ones(240)
+    for i in range(240):
+        if np.isfinite(flux[i]) and trend[i] > 1e-9:
+            raw = min(max(filled[i] / trend[i], 0.7), 1.06)
+            dev = min(max((local[i] / trend.max() - 0.35) / 0.2, 0), 1) * (raw - 1)
+            want[i] = 1 if abs(dev) < 0.012 else 1 + dev - 0.012 * np.sign(dev)
+    got = P.transparency_gains(flux)
+    assert np.allclose(got, want, atol=1e-6) and (got[[50, 51, 3]] == 1).all() and (got != 1).sum() > 50
+    assert (P.transparency_gains(np.where(x < 19, 5.0, np.nan)) == 1).all()
+    img = np.where((np.arange(200) - 100.0)[:, None] ** 2 + (np.arange(200) - 100.0)[None] ** 2 < 90**2, 1000.0, 10.0) * (1 + 0.02 * rng.normal(0, 1, 200))[:, None]
+    lit = img > P.disk_threshold(img)
+    chord = lit.sum(1)
+    good = (chord > 40) & (chord >= int(0.45 * chord.max()))
+    prof = np.array([np.median(r[k]) if g else np.nan for r, k, g in zip(img, lit, good, strict=True)])
+    first, last = np.flatnonzero(good)[[0, -1]]
+    for window in (17, 61):
+        trend, want = _plain_loess(N.nearest_fill(prof), window), np.ones(200)
+        for y in range(first, last + 1):
+            dev = min(max(min(y - first, last - y) / max(window, 12), 0), 1) * (min(max(prof[y] / trend[y], 0.8), 1.25) - 1)
+            want[y] = 1 if abs(dev) < 0.004 else 1 + dev - 0.004 * np.sign(dev)
+        assert np.allclose(P.row_gains(img, window), want, atol=1e-6)
+    assert P.row_gains(img[:70], 17) is None or good[:70].sum() >= 40
