@@ -15,6 +15,7 @@ from dataclasses import asdict, dataclass, fields, replace
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,7 @@ from ..functions import restore as R
 from ..functions import spectrum as S
 from ..functions import telluric as T
 from ..operators.frames import bright_frames
+from ..sources.shared import stored
 
 
 @dataclass(frozen=True)
@@ -232,9 +234,36 @@ def motions(frames: DataFrame, found: dict[str, Geometry], o: Options) -> dict[s
     return {scan: np.array([d for _, d in sorted(v)]) for scan, v in out.items()}
 
 
-def profiles(frames: DataFrame, found: dict[str, Geometry], dy: dict[str, np.ndarray], o: Options) -> DataFrame:
-    """(scan_id, frame, core, mu, depth, cont): line fits of every spectrum,
-    with the leading residual shapes added back at the line's centre."""
+#: Spectral places, in pixels from the line, at which a frame's mean spectrum is kept.
+REACH = 60
+
+
+def _spectra(g: Geometry, cube: np.ndarray, shift: np.ndarray | float, wing: float = 6.0) -> dict:
+    """Mean spectrum of each frame along the line, and its columns at the two wings."""
+    y = np.arange(g.height, dtype=float)
+    centre = g.line.centre(np.broadcast_to(y + shift, (len(cube), g.height)))
+    room = int(min(REACH, g.width // 2 - 8))
+    offset = np.concatenate([np.arange(-room, room + 1), np.linspace(-wing - 1, -wing + 1, 5), np.linspace(wing - 1, wing + 1, 5)])
+    values = S.spline_lines(cube.astype(float), centre[..., None] + offset)
+    lit = values.max(-1) > 0.25 * g.level
+    spec = (values[..., : 2 * room + 1] * lit[..., None]).sum(1) / np.maximum(lit.sum(1), 1)[:, None]
+    k = np.exp(-0.5 * np.linspace(-1, 1, 5) ** 2)
+    wings = values[..., 2 * room + 1 :].reshape(*lit.shape, 2, 5) @ (k / k.sum())
+    return {"spec": spec, "blue": wings[..., 0], "red": wings[..., 1]}
+
+
+def frame_spectra(frames: DataFrame, found: dict[str, Geometry], wing: float = 6.0) -> DataFrame:
+    """(scan_id, frame, spec, blue, red) from one pass."""
+
+    def kernel(scan: str, number: np.ndarray, cube: np.ndarray) -> dict | None:
+        return _spectra(found[scan], cube, 0.0, wing) if scan in found else None
+
+    return per_frame(frames, kernel, "scan_id string, frame int, spec array<float>, blue array<float>, red array<float>")
+
+
+def fits(frames: DataFrame, found: dict[str, Geometry], dy: dict[str, np.ndarray], o: Options) -> DataFrame:
+    """(scan_id, frame, core, mu, depth, cont, residual, spec): line fits of
+    every spectrum, what they leave, and each frame's mean spectrum, from one pass."""
     t = o.tuning
 
     def fit(scan: str, number: np.ndarray, cube: np.ndarray) -> dict | None:
@@ -243,7 +272,9 @@ def profiles(frames: DataFrame, found: dict[str, Geometry], dy: dict[str, np.nda
         g = found[scan]
         y = np.arange(g.height, dtype=float)
         shift = dy.get(scan)
-        at = y[None] + (shift[number][:, None] if shift is not None else np.zeros((len(number), 1)))
+        own = shift[number][:, None] if shift is not None else np.zeros((len(number), 1))
+        spec = _spectra(g, cube, own)["spec"] if o.profile else np.zeros((len(number), 1))
+        at = y[None] + own
         if shift is not None and np.abs(shift).max() > 0:  # bring every frame's rows to the common slit first
             c = N.spline_coefficients(np.ascontiguousarray(cube.transpose(0, 2, 1), float))
             cube = N.spline_at(c, np.broadcast_to(at[:, None], c.shape)).transpose(0, 2, 1)
@@ -255,83 +286,83 @@ def profiles(frames: DataFrame, found: dict[str, Geometry], dy: dict[str, np.nda
                 core = np.stack([S.adaptive_sample(f, c) for f, c in zip(cube.astype(float), centre, strict=True)])
             else:
                 core = S.spline_lines(cube.astype(float), centre[..., None])[..., 0]
-            return {"core": core, "mu": np.full_like(core, np.nan), "depth": np.zeros_like(core), "residual": np.zeros((*core.shape, 1)), "cont": core}
+            return {"core": core, "mu": np.full_like(core, np.nan), "depth": np.zeros_like(core), "residual": np.zeros((len(core), 1)), "cont": core, "spec": spec}
         got = S.fit_frames(cube.astype(float), centre, g.sigma, int(round(t.w_fit)), t.mu_range, t.depth_gate)
-        return got | {"cont": got["continuum"]}
-
-    k = int(round(t.pca_k))
-    bases: dict[str, np.ndarray] = {}
-    if o.profile and k > 0:
-        # each frame's residuals on a stride, as sums and a scatter matrix: small whatever the frame
-        def scatter(scan: str, number: np.ndarray, cube: np.ndarray) -> dict | None:
-            keep = number % 3 == 0
-            if not keep.any():
-                return None
-            got = fit(scan, number[keep], cube[keep])
-            if got is None:
-                return None
-            lit = got["cont"][:, ::4] > 0.25 * found[scan].level
-            r = np.where(lit[..., None], got["residual"][:, ::4] / found[scan].level, 0).astype(float)
-            m = r.shape[-1]
-            out = np.zeros((len(number), m * m + m + 1))
-            out[keep] = np.concatenate([np.einsum("thm,thn->tmn", r, r).reshape(len(r), -1), r.sum(1), lit.sum(1)[:, None]], 1)
-            return {"sums": out}
-
-        def add(pdf: pd.DataFrame) -> pd.DataFrame:
-            return pd.DataFrame({"scan_id": [pdf["scan_id"].iloc[0]], "sums": [np.sum(np.stack(pdf["sums"].to_list()).astype(float), 0)]})
-
-        sums = per_frame(frames, scatter, "scan_id string, frame int, sums array<float>")
-        # sums in single precision of values below 1: the directions are stable to 1e-5
-        for row in sums.groupBy("scan_id").applyInPandas(add, "scan_id string, sums array<double>").toLocalIterator():
-            v = np.array(row["sums"])
-            m = int((-1 + np.sqrt(4 * len(v) - 3)) / 2)
-            n = v[-1]
-            if n > 500:
-                mean = v[m * m : m * m + m] / n
-                values, vectors = np.linalg.eigh(v[: m * m].reshape(m, m) - n * np.outer(mean, mean))
-                bases[row["scan_id"]] = vectors[:, ::-1][:, :k].T
-
-    def final(scan: str, number: np.ndarray, cube: np.ndarray) -> dict | None:
-        got = fit(scan, number, cube)
-        if got is not None and scan in bases:
-            basis = bases[scan]
-            middle = basis.shape[1] // 2
-            got["core"] = got["core"] + np.einsum("thm,km,k->th", got["residual"], basis, basis[:, middle])
-        return got
-
-    return per_frame(frames, final, "scan_id string, frame int, core array<float>, mu array<float>, depth array<float>, cont array<float>")
+        return got | {"cont": got["continuum"], "spec": spec}
 
+    return per_frame(frames, fit, "scan_id string, frame int, core array<float>, mu array<float>, depth array<float>, cont array<float>, residual array<float>, spec array<float>")
 
-#: Spectral places, in pixels from the line, at which a frame's mean spectrum is kept.
-REACH = 60
+
+def _fixed(batch: pa.RecordBatch, column: str) -> np.ndarray:
+    """A column of arrays as (rows, items), padded with 0 where another scan's are shorter."""
+    col = batch.column(column)
+    size = pc.list_value_length(col).to_numpy(zero_copy_only=False)
+    out = np.zeros((len(size), int(size.max(initial=0))), np.float32)
+    out[np.arange(out.shape[1])[None] < size[:, None]] = col.flatten().to_numpy(zero_copy_only=False)
+    return out
 
 
-def frame_spectra(frames: DataFrame, found: dict[str, Geometry], dy: dict[str, np.ndarray], wing: float = 6.0) -> DataFrame:
-    """(scan_id, frame, spec, blue, red): each frame's mean spectrum along the
-    line, and its columns at the two wings, from one pass."""
+def shapes(fitted: DataFrame, found: dict[str, Geometry], k: int) -> dict[str, np.ndarray]:
+    """The k leading shapes of each scan's residuals: every third frame's sums
+    and scatter matrix are added up, the driver solves one small matrix a scan."""
 
-    def kernel(scan: str, number: np.ndarray, cube: np.ndarray) -> dict | None:
-        if scan not in found:
-            return None
-        g = found[scan]
-        y = np.arange(g.height, dtype=float)
-        shift = dy[scan][number][:, None] if scan in dy else 0.0
-        centre = g.line.centre(np.broadcast_to(y + shift, (len(number), g.height)))
-        room = int(min(REACH, g.width // 2 - 8))
-        offset = np.concatenate([np.arange(-room, room + 1), np.linspace(-wing - 1, -wing + 1, 5), np.linspace(wing - 1, wing + 1, 5)])
-        values = S.spline_lines(cube.astype(float), centre[..., None] + offset)
-        lit = values.max(-1) > 0.25 * g.level
-        spec = (values[..., : 2 * room + 1] * lit[..., None]).sum(1) / np.maximum(lit.sum(1), 1)[:, None]
-        k = np.exp(-0.5 * np.linspace(-1, 1, 5) ** 2)
-        wings = values[..., 2 * room + 1 :].reshape(*lit.shape, 2, 5) @ (k / k.sum())
-        return {"spec": spec, "blue": wings[..., 0], "red": wings[..., 1]}
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, np.ndarray] = {}
+        for batch in batches:
+            residual, cont = _fixed(batch, "residual"), _fixed(batch, "cont")
+            for i, scan in enumerate(batch.column("scan_id").to_pylist()):
+                h, level = found[scan].height, found[scan].level
+                m = len(batch.column("residual")[i]) // h
+                lit = cont[i, :h:4] > 0.25 * level
+                r = (residual[i, : h * m].reshape(h, m)[::4][lit] / level).astype(float)
+                sums[scan] = sums.get(scan, 0) + np.concatenate([(r.T @ r).ravel(), r.sum(0), [lit.sum()]])
+        if sums:
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array([v.tolist() for v in sums.values()], pa.list_(pa.float64()))], ["scan_id", "sums"])
 
-    return per_frame(frames, kernel, "scan_id string, frame int, spec array<float>, blue array<float>, red array<float>")
+    def add(pdf: pd.DataFrame) -> pd.DataFrame:
+        return pd.DataFrame({"scan_id": [pdf["scan_id"].iloc[0]], "sums": [np.sum(np.stack(pdf["sums"].to_list()), 0)]})
+
+    schema, out = "scan_id string, sums array<double>", {}
+    sums = fitted.where("frame % 3 = 0").select("scan_id", "residual", "cont").mapInArrow(scatter, schema)
+    for row in sums.groupBy("scan_id").applyInPandas(add, schema).toLocalIterator():
+        v = np.array(row["sums"])
+        m = int((-1 + np.sqrt(4 * len(v) - 3)) / 2)
+        n = v[-1]
+        if n > 500:
+            mean = v[m * m : m * m + m] / n
+            _, vectors = np.linalg.eigh(v[: m * m].reshape(m, m) - n * np.outer(mean, mean))
+            out[row["scan_id"]] = vectors[:, ::-1][:, :k].T
+    return out
+
+
+def profiles(fitted: DataFrame, found: dict[str, Geometry], o: Options) -> DataFrame:
+    """(scan_id, frame, core, mu, depth, cont) of fits(), with the leading
+    residual shapes added back at the line's centre."""
+    kept = ["scan_id", "frame", "core", "mu", "depth", "cont"]
+    k = int(round(o.tuning.pca_k))
+    bases = shapes(fitted, found, k) if o.profile and k > 0 else {}
+    if not bases:
+        return fitted.select(*kept)
+    # what a residual adds at the centre: one number for each of its places
+    gain = {scan: basis.T @ basis[:, basis.shape[1] // 2] for scan, basis in bases.items()}
+
+    def final(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            residual, core = batch.column("residual"), batch.column("core")
+            rows = []
+            for i, scan in enumerate(batch.column("scan_id").to_pylist()):
+                v = core[i].values.to_numpy()
+                rows.append(v + residual[i].values.to_numpy().reshape(len(v), -1) @ gain[scan] if scan in gain else v)
+            cols = {c: batch.column(c) for c in kept} | {"core": pa.array([r.astype(np.float32) for r in rows], pa.list_(pa.float32()))}
+            yield pa.RecordBatch.from_arrays(list(cols.values()), kept)
+
+    return fitted.select(*kept, "residual").mapInArrow(final, "scan_id string, frame int, core array<float>, mu array<float>, depth array<float>, cont array<float>")
 
 
-def drifts(frames: DataFrame, found: dict[str, Geometry], images: dict[str, np.ndarray], dy: dict[str, np.ndarray]) -> DataFrame:
-    """(scan_id, frames, lines, dispersion, flexure, slit): drift from water
-    lines of each scan that shows any; `flexure` by frame, `slit` by row."""
+def drifts(spectra: DataFrame, found: dict[str, Geometry], images: dict[str, np.ndarray]) -> DataFrame:
+    """(scan_id, frames, lines, dispersion, flexure, slit) from (scan_id, frame,
+    spec): drift from water lines of each scan that shows any; `flexure` by
+    frame, `slit` by row."""
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("frame")
@@ -346,7 +377,7 @@ def drifts(frames: DataFrame, found: dict[str, Geometry], images: dict[str, np.n
         return pd.DataFrame({"scan_id": [scan], "frames": [len(pdf)], "lines": [got.lines], "dispersion": [got.dispersion], "flexure": [got.series], "slit": [slit if slit is not None else np.zeros(g.height)]})
 
     schema = "scan_id string, frames int, lines int, dispersion double, flexure array<double>, slit array<double>"
-    return frame_spectra(frames, found, dy).groupBy("scan_id").applyInPandas(solve, schema)
+    return spectra.select("scan_id", "frame", "spec").groupBy("scan_id").applyInPandas(solve, schema)
 
 
 def wing_dopplergrams(frames: DataFrame, wing: float = 6.0) -> DataFrame:
@@ -357,7 +388,7 @@ def wing_dopplergrams(frames: DataFrame, wing: float = 6.0) -> DataFrame:
         v = T.wing_difference(_image(pdf, "blue"), _image(pdf, "red"))
         return pd.DataFrame({"scan_id": pdf["scan_id"].iloc[0], "y": np.arange(len(v), dtype=np.int32), "row": list(v.astype(np.float32))})
 
-    return frame_spectra(frames, found, {}, wing).groupBy("scan_id").applyInPandas(image, "scan_id string, y int, row array<float>")
+    return frame_spectra(frames, found, wing).groupBy("scan_id").applyInPandas(image, "scan_id string, y int, row array<float>")
 
 
 def finish(img: np.ndarray, flux: np.ndarray, o: Options, report: dict) -> np.ndarray | None:
@@ -415,7 +446,10 @@ def reconstruct(frames: DataFrame, o: Options = Options()) -> DataFrame:
         o = replace(o, profile=False, motion=False, scan_positions=False, limb_positions=False, transparency=False, bursts=False, demix=False, nlm=False)
     found, images = geometries(frames, o.baseline)
     dy = motions(frames, found, o) if o.motion else {}
-    water = {r["scan_id"]: (np.array(r["flexure"]), np.array(r["slit"]), r["lines"]) for r in drifts(frames, found, images, dy).toLocalIterator()} if o.profile else {}
+    fitted = fits(frames, found, dy, o)
+    if o.profile:  # read three times; residuals are a sixth of a frame
+        fitted = stored(fitted, "fits")
+    water = {r["scan_id"]: (np.array(r["flexure"]), np.array(r["slit"]), r["lines"]) for r in drifts(fitted, found, images).toLocalIterator()} if o.profile else {}
     smiles = {scan: g.line.centre(np.arange(g.height)) for scan, g in found.items()}
 
     def image(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -449,7 +483,7 @@ def reconstruct(frames: DataFrame, o: Options = Options()) -> DataFrame:
         rows.append((scan, "report", -1, None, json.dumps(report)))
         return pd.DataFrame(rows, columns=["scan_id", "kind", "y", "row", "report"])
 
-    columns = profiles(frames, found, dy, o)
+    columns = profiles(fitted, found, o)
     return columns.groupBy("scan_id").applyInPandas(image, SCHEMA)
 
 
