@@ -1,7 +1,8 @@
 """Shards of equal bytes, tokens and rows by vector bin packing.
 
-Documents of the same words form a group that stays together.  Each group has
-a vector (bytes, tokens, rows); groups are placed, largest first, on the shard
+Documents of the same words form a group that stays together, unless it is
+more than a shard's even share: then it is dealt to as many groups as it takes.
+Documents without a word are groups of their own.  Each group has a vector (bytes, tokens, rows); groups are placed, largest first, on the shard
 whose residual capacity has the greatest dot product with it (both in units of
 a shard's even share).  A shard that the group would overfill is taken only if
 no other has room.
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import vocab as V
 from .bestfit import VOCAB, measured
-from .common import load, stored
+from .common import load, sized, stored
 
 #: Bytes of text that a shard should have.
 SHARD_BYTES = 64 << 20
@@ -46,27 +47,38 @@ def place(vectors: np.ndarray, shards: int) -> np.ndarray:
     return out
 
 
+def weighed(docs: DataFrame, folder: str = V.TOKENIZER_DIR) -> DataFrame:
+    """(doc_id, cluster, n_bytes, n_tokens, n_rows) of each document; a cluster is of the same words."""
+    # the rows' sizes come with the words' hash from one scan
+    plain = docs.select("doc_id", F.octet_length(F.col("text").cast("string")).cast("string").alias("source"), "text")
+    rows = measured(plain, VOCAB, folder)
+    rows = rows.withColumn("cluster", F.when(F.col("cluster") == 0, F.xxhash64("doc_id")).otherwise(F.col("cluster")))
+    size = F.max(F.coalesce(F.col("source").cast("bigint"), F.lit(0)))
+    return rows.groupBy("doc_id").agg(F.max_by("cluster", F.struct("n_tokens", "cluster")).alias("cluster"), size.alias("n_bytes"), F.max("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows"))
+
+
 def assigned(docs: DataFrame, shard_bytes: int = SHARD_BYTES, cell_shards: int = CELL_SHARDS, folder: str = V.TOKENIZER_DIR) -> DataFrame:
     """(doc_id, shard, n_bytes, n_tokens, n_rows) of each document.
 
-    Null and empty texts weigh no bytes and no tokens but a row; they are of
-    one group.  Rows that repeat a doc_id are one document, of the bytes and
-    tokens of the longest and of as many rows.  A null doc_id is left out.
+    Null and empty texts weigh no bytes and no tokens but a row.  Rows that
+    repeat a doc_id are one document, of the bytes and tokens of the longest
+    and of as many rows.  A null doc_id is left out; a text of any length is
+    weighed whole, and one of more than a shard has a shard that it overfills.
     Groups of equal size are taken by their hash; an empty table gives no
     rows; other columns are ignored."""
-    spark = docs.sparkSession
-    # the rows' sizes come with the words' hash from one scan
-    plain = docs.select("doc_id", F.octet_length(F.col("text").cast("string")).cast("string").alias("source"), "text")
-    rows = measured(plain, VOCAB, folder)
-    one = stored(
-        rows.groupBy("doc_id").agg(F.max_by("cluster", F.struct("n_tokens", "cluster")).alias("cluster"), F.max(F.coalesce(F.col("source").cast("bigint"), F.lit(0))).alias("n_bytes"), F.max("n_tokens").alias("n_tokens"), F.count("*").alias("n_rows")),
-        "weighed",
-    )
-    total = one.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
-    shards = max(1, math.ceil(total / shard_bytes))
+    one = stored(weighed(docs, folder), "weighed")
+    sums = one.agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n_bytes", "n_tokens", "n_rows"))).first()
+    shards = max(1, math.ceil(sums[0] / shard_bytes))
     cells = max(1, math.ceil(shards / cell_shards))
     per = math.ceil(shards / cells)  # the same in every cell, so that all shards are of one size
-    groups = one.groupBy("cluster").agg(F.sum("n_bytes").alias("b"), F.sum("n_tokens").alias("t"), F.sum("n_rows").alias("r"))
+    weight = [F.sum("n_bytes").alias("b"), F.sum("n_tokens").alias("t"), F.sum("n_rows").alias("r")]
+    # groups above a shard's share, at most three for each shard
+    share = F.greatest(*(F.col(c) * (shards / max(total, 1)) for c, total in zip("btr", sums, strict=True)))
+    large = one.groupBy("cluster").agg(*weight, F.count("*").alias("n")).where((share > 1) & (F.col("n") > 1) & F.lit(shards > 1))
+    large = stored(large.select(F.col("cluster").alias("__large"), F.ceil(share).alias("__pieces")), "large")
+    dealt = F.xxhash64("cluster", F.pmod(F.xxhash64("doc_id"), F.col("__pieces")))
+    one = one.join(sized(large), F.col("cluster") == F.col("__large"), "left").withColumn("cluster", F.when(F.col("__pieces").isNotNull(), dealt).otherwise(F.col("cluster"))).drop("__large", "__pieces")
+    groups = one.groupBy("cluster").agg(*weight)
     groups = groups.withColumn("cell", F.pmod(F.xxhash64("cluster"), F.lit(cells)))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
