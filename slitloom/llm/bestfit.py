@@ -158,8 +158,9 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, shard_docs: int = SHARD_DO
     `piece` numbers a document's parts of `capacity` tokens from 0.  Null and
     empty texts have no tokens and no piece.  Rows that repeat a doc_id count
     once, with the longest text; a null doc_id is left out.  A null source
-    conflicts with none.  Equal sizes are taken by doc_id; an empty table
-    gives no rows; other columns are ignored."""
+    conflicts with none.  A text of any length is cut into whole sequences and
+    a rest.  Equal sizes are taken by doc_id; an empty table gives no rows;
+    other columns are ignored."""
     one = stored(measured(docs, cluster=cluster, folder=folder), "sized")
     one = one.groupBy("doc_id").agg(F.max_by(F.struct("source", "cluster", "n_tokens"), F.struct("n_tokens", "cluster", "source")).alias("x")).select("doc_id", "x.*").where("n_tokens > 0")
     shards = max(1, math.ceil(docs.count() / shard_docs))

@@ -97,8 +97,10 @@ def packed_tokens(docs: DataFrame, name: str = VOCAB, folder: str = V.TOKENIZER_
     """SCHEMA's row for each row of docs that has an id: the ids of its text,
     encoded whole, and the byte offsets of its blocks of BLOCK ids.
 
-    Null and empty texts give no ids, no bytes and no blocks.  Rows that
-    repeat are packed one by one.  Other columns are ignored."""
+    Null and empty texts give no ids, no bytes and no blocks; a text of any
+    length is packed whole.  Rows that repeat are packed one by one, a null
+    doc_id is left out.  There are no ties.  An empty table gives no rows;
+    other columns are ignored."""
     bits = width(len(V.byte_ranks(f"{folder}/{name}")))
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -2,11 +2,6 @@
 
 from __future__ import annotations
 
-import atexit
-import re
-import tempfile
-import uuid
-import weakref
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -15,6 +10,8 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import discard, stored  # noqa: F401
+
 # freed Arrow buffers go back to the system, not to a pool that a reused worker keeps
 pa.set_memory_pool(pa.system_memory_pool())
 
@@ -28,49 +25,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; one of our own only where the session
-    names none and all runs on this machine."""
-    where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not where:
-        master = spark.sparkContext.master
-        if not re.match(r"local($|\[)", master):
-            raise RuntimeError(f"spark.checkpoint.dir must name a folder that all executors of {master} share")
-        where = tempfile.mkdtemp(prefix="slitloom-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-        jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jvm_path, True)
-    except Exception:  # the session has ended: the folder's owner clears it
-        pass
-
-
-def stored(df: DataFrame, name: str, **options: object) -> DataFrame:
-    """df written as Parquet to the shared folder and read back: cuts the
-    lineage and survives the loss of executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    atexit.register(_remove, spark, path)
-    out = spark.read.schema(df.schema).parquet(path)
-    _PATHS[out] = path
-    return out
-
-
-_PATHS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
-
-
-def discard(df: DataFrame) -> None:
-    """Deletes a table made by stored() that nothing will read any more."""
-    path = _PATHS.pop(df, None)
-    if path:
-        _remove(df.sparkSession, path)
-
-
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of at most limit bytes of text, one row at least."""
     n = batch.num_rows

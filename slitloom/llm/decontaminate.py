@@ -306,7 +306,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, n: int = SEED, threshold: float
 
 
 def drop_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without those that hold a copy of an item, all columns as they came."""
+    """docs without those that hold a copy of an item, all columns as they came,
+    whatever their names.  Null, empty and wordless texts stay, as do rows
+    without an id; of rows that repeat an id all go if one of them holds a
+    copy.  An empty table on either side leaves docs as they are."""
     return without(docs, leaks(docs, benchmark))
 
 

@@ -290,7 +290,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """docs with one document of each group left, all columns as they came."""
+    """docs with one document of each group left, that of the least doc_id, all
+    columns as they came, whatever their names.  Null, empty and wordless texts
+    are no copies and stay, as do rows without an id and all rows that repeat
+    the id of one that stays; an empty table stays empty."""
     return without(docs, near_duplicates(docs, radius))
 
 

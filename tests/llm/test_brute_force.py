@@ -346,13 +346,13 @@ def test_shards_are_those_of_a_plain_placing(spark):
     shards = math.ceil(sum(w[0] for w in weight.values()) / 100_000)
     groups = defaultdict(list)
     for d in order:
-        groups[tuple(words[d])].append(d)
+        groups[tuple(words[d]) or (-d,)].append(d)
     total = [sum(w[k] for w in weight.values()) for k in range(3)]
     unit = {g: [sum(weight[d][k] for d in ds) / total[k] * shards for k in range(3)] for g, ds in groups.items()}
     residual = [[1.0] * 3 for _ in range(shards)]
     taken = {got[ds[0]]["shard"] for ds in groups.values()}
     assert taken <= set(range(shards)) and all(len({got[d]["shard"] for d in ds}) == 1 for ds in groups.values())
-    key = {r["doc_id"]: r["cluster"] for r in bestfit.measured(docs).collect()}
+    key = {r["doc_id"]: r["cluster"] for r in sharding.weighed(docs).collect()}
     for g in sorted(unit, key=lambda g: (-max(unit[g]), key[groups[g][0]])):
         u, mine = unit[g], got[groups[g][0]]["shard"]
         fits = [k for k in range(shards) if all(r >= x - 1e-9 for r, x in zip(residual[k], u, strict=True))] or list(range(shards))
@@ -409,3 +409,16 @@ def test_components_by_rounds_and_at_once(spark, monkeypatch, at_once):
                 label[a] = label[b] = min(label[a], label[b])
     got = components.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()
     assert len(got) == len(label) and {r["node"]: r["root"] for r in got} == label
+
+
+def test_groups_of_more_than_a_shard_are_dealt(spark):
+    rng = random.Random(2)
+    copy = sentence(rng, 100)
+    rows = [(i, copy) for i in range(300)] + [(300 + i, "") for i in range(60)] + [(400 + i, sentence(rng, 100)) for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = sharding.assigned(docs, shard_bytes=len(copy) * 40).collect()
+    load_ = defaultdict(lambda: np.zeros(3))
+    for r in got:
+        load_[r["shard"]] += [r["n_bytes"], r["n_tokens"], r["n_rows"]]
+    load_ = np.array(list(load_.values()))
+    assert len(got) == 460 and len(load_) == 10 and (load_ / load_.mean(0)).max() < 1.5

@@ -136,8 +136,10 @@ def test_sharding(spark, awkward):
     rows = {r["doc_id"]: r for r in sharding.assigned(awkward, shard_bytes=20_000).collect()}
     assert sorted(rows) == list(range(1, 14))
     assert rows[8]["n_rows"] == 2 and rows[1]["n_bytes"] == 0
-    assert rows[6]["shard"] == rows[7]["shard"] == rows[8]["shard"]
     assert len({r["shard"] for r in rows.values()}) > 3
+    # copies stay together where they fit a shard: four rows are more than a share of those above
+    rows = {r["doc_id"]: r for r in sharding.assigned(awkward, shard_bytes=120_000).collect()}
+    assert rows[6]["shard"] == rows[7]["shard"] == rows[8]["shard"] and len({r["shard"] for r in rows.values()}) > 1
 
 
 def test_chaining(spark, awkward):
@@ -197,3 +199,13 @@ def test_cut_words(spark):
     spans = spark.createDataFrame([(1, 1, 3), (1, 2, 4), (2, 2, 3), (3, 0, 1), (3, 1, 2), (9, 0, 1)], "doc_id bigint, start_word int, end_word int")
     got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in chaining.cut_words(docs, spans).collect()}
     assert got == {1: ("One, five", 9), 2: ("É x ", 4), 4: (None, None), None: ("one two", 7)}
+
+
+def test_labels_and_items_with_clashing_columns(spark, awkward):
+    from pyspark.sql import functions as F
+
+    text = awkward.where("doc_id = 6").first()["text"]
+    items = bench(spark, [(1, text)]).selectExpr("*", "'a' as doc_id", "'b' as score", "1 as start_word", "'c' as source")
+    assert ids(decontaminate.leaks(awkward, items)) == [6, 7, 8]
+    labelled = labels(spark).selectExpr("*", "'x' as text", "'y' as good", "1 as n", "'z' as log_weight").withColumn("__target_doc_id", F.lit("t"))
+    assert ids(resample.resampled(awkward, labelled, share=1.0)) == [3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13]
