@@ -17,19 +17,32 @@ from ..sources import synthetic as Y
 from . import reconstruct as R
 
 
+def stems(scans: list[str]) -> dict[str, str]:
+    """A file name for each scan: its base name, numbered where several scans share one."""
+    seen: dict[str, int] = {}
+    out = {}
+    for scan in sorted(scans):
+        base = os.path.splitext(os.path.basename(scan))[0]
+        seen[base] = seen.get(base, 0) + 1
+        out[scan] = base if seen[base] == 1 else f"{base}-{seen[base]}"
+    return out
+
+
 def save(out: DataFrame, folder: str, velocity: bool = False) -> list[str]:
     """Linear and display PNG and FITS of each scan's disk, and its velocity map if asked for."""
     os.makedirs(folder, exist_ok=True)
     made = []
-    for scan, img in R.disk_of(out).items():
-        base = os.path.join(folder, os.path.splitext(scan)[0])
+    disks = R.disk_of(out)
+    names = stems(list(disks))
+    for scan, img in disks.items():
+        base = os.path.join(folder, names[scan])
         pictures.write_png16(f"{base}_linear.png", img, 0, float(max(img.max(), 1)))
         pictures.write_png16(f"{base}_display.png", img)
         pictures.write_fits(f"{base}.fits", img)
         made += [f"{base}_linear.png", f"{base}_display.png", f"{base}.fits"]
     if velocity:
         for scan, v in R.disk_of(out, "velocity").items():
-            path = os.path.join(folder, f"{os.path.splitext(scan)[0]}_velocity.png")
+            path = os.path.join(folder, f"{names[scan]}_velocity.png")
             pictures.write_velocity_png(path, v)
             made.append(path)
     return made
@@ -44,6 +57,11 @@ def save_spectrum(spectrum: DataFrame, path: str) -> None:
     spectrum.orderBy("scan_id", "offset_px").coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def save_series(series: DataFrame, path: str, by: str = "frame") -> None:
+    """A scan's numbers by frame (shift, flexure, gains, their truth) as CSV."""
+    series.orderBy("scan_id", by).coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
 def append_ledger(scores: DataFrame, path: str) -> None:
     """One JSON line a variant, added to what is there."""
     scores.coalesce(1).write.mode("append").json(path)

@@ -15,7 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, Filter, GreaterThan, GreaterThanOrEqual, InputPartition, LessThan, LessThanOrEqual
 
 HEADER = 178
 SCHEMA = "scan_id string, frame int, width int, height int, px array<float>"
@@ -112,7 +112,7 @@ class SerReader(DataSourceReader):
             px = read_frames(partition.path, header, a, n).reshape(-1)
             yield pa.RecordBatch.from_arrays(
                 [
-                    pa.array([os.path.basename(partition.path)] * n),
+                    pa.array([partition.path] * n),
                     pa.array(np.arange(a, a + n, dtype=np.int32)),
                     pa.array(np.full(n, header.width, np.int32)),
                     pa.array(np.full(n, header.height, np.int32)),
@@ -122,8 +122,26 @@ class SerReader(DataSourceReader):
             )
 
 
+class PushingSerReader(SerReader):
+    """Takes conditions on `frame` into the ranges that are read; they are tested again on the rows."""
+
+    def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
+        for f in filters:
+            if getattr(f, "attribute", None) == ("frame",):
+                v = getattr(f, "value", None)
+                if isinstance(f, EqualTo):
+                    self.first, self.last = max(self.first, v), min(self.last, v + 1)
+                elif isinstance(f, (GreaterThan, GreaterThanOrEqual)):
+                    self.first = max(self.first, v + isinstance(f, GreaterThan))
+                elif isinstance(f, (LessThan, LessThanOrEqual)):
+                    self.last = min(self.last, v + isinstance(f, LessThanOrEqual))
+            yield f
+
+
 class SerDataSource(DataSource):
-    """Options: path (or several, by commas), framesPerPartition, firstFrame, lastFrame."""
+    """Options: path (or several, by commas), framesPerPartition, firstFrame,
+    lastFrame; pushdown=true where the session has
+    spark.sql.python.filterPushdown.enabled.  A scan's id is its path."""
 
     @classmethod
     def name(cls) -> str:
@@ -133,4 +151,4 @@ class SerDataSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> SerReader:
-        return SerReader(self.options)
+        return (PushingSerReader if self.options.get("pushdown", "false").lower() == "true" else SerReader)(self.options)

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -57,11 +57,14 @@ class ScanSettings:
     doppler: bool = False
     flexure: float = 0.0
     exposure: float = 1.0
+    #: Along the scan; share of frames in bursts of bad seeing; steady seeing (px); water lines.
+    jitter_x: float = 0.0
+    bursts: float = 0.0
+    seeing: float = 0.0
+    water: bool = False
 
     def clean(self) -> ScanSettings:
-        from dataclasses import replace
-
-        return replace(self, jitter=0.0, noise=False, dust=False, cloud=False, flexure=0.0)
+        return replace(self, jitter=0.0, noise=False, dust=False, cloud=False, flexure=0.0, jitter_x=0.0, bursts=0.0)
 
 
 @dataclass(frozen=True)
@@ -108,6 +111,11 @@ class Sun:
         """Line shift in pixels from rotation about the vertical axis."""
         return np.where(np.hypot(u, v) < 1, 0.4 * u, 0.0)
 
+    def velocity_image(self, radius: float) -> np.ndarray:
+        n = int(2 * radius + 160)
+        y, x = np.mgrid[:n, :n]
+        return self.velocity((x - (n - 1) / 2) / radius, (y - (n - 1) / 2) / radius)
+
     def image(self, radius: float) -> np.ndarray:
         n = int(2 * radius + 160)
         y, x = np.mgrid[:n, :n]
@@ -128,7 +136,35 @@ def truth(s: ScanSettings) -> dict[str, np.ndarray]:
         for _ in range(14):
             rows -= rng.uniform(0.02, 0.08) * np.exp(-(((np.arange(s.height) - rng.uniform(0, s.height)) / rng.uniform(0.7, 3)) ** 2))
     flex = s.flexure * np.sin(np.linspace(0, 2 * np.pi, s.frames))
-    return {"jitter": s.jitter * walk, "transparency": cloud, "flex": flex, "row_gain": rows, "noise_seed": np.array([s.seed + 2])}
+    jitter, jitter_x, blur = s.jitter * walk, np.zeros(s.frames), np.zeros(s.frames)
+    more = np.random.default_rng(s.seed + 7)
+    if s.jitter_x > 0:
+        for i in range(1, s.frames):
+            jitter_x[i] = 0.9 * jitter_x[i - 1] + more.normal(0, s.jitter_x * np.sqrt(1 - 0.81))
+    i = 0
+    while s.bursts > 0 and i < s.frames:  # 2 to 8 frames displaced together and blurred along the slit
+        if more.uniform() < s.bursts / 5:
+            run, kick = slice(i, i + int(more.integers(2, 9))), more.uniform(-3, 3)
+            blur[run] = more.uniform(2.5, 6)
+            jitter[run] += kick
+            jitter_x[run] += 0.7 * kick
+            i = run.stop
+        else:
+            i += 1
+    return {"jitter": jitter, "jitter_x": jitter_x, "blur": blur, "transparency": cloud, "flex": flex, "row_gain": rows, "noise_seed": np.array([s.seed + 2])}
+
+
+def stencil(seeing: float, slit: float) -> list[tuple[float, float, float]]:
+    """(dx, dy, weight) of the places that a pixel gathers: seeing as 3 x 3 places
+    a sigma apart, times three along the slit's width."""
+    wide = [(i * seeing, j * seeing, float(np.exp(-0.5 * (i * i + j * j)))) for i in (-1, 0, 1) for j in (-1, 0, 1)] if seeing > 0 else [(0.0, 0.0, 1.0)]
+    out = [(x + b, y, w) for x, y, w in wide for b in ((-slit / 3, 0.0, slit / 3) if slit > 0 else (0.0,))]
+    total = sum(w for *_, w in out)
+    return [(x, y, w / total) for x, y, w in out]
+
+
+#: Depth, offset and width (px) of the water lines beside the line.
+WATER = ((0.10, -20.0, 1.5), (0.06, 17.0, 1.5))
 
 
 def smile(s: ScanSettings) -> np.ndarray:
@@ -143,17 +179,26 @@ def render(s: ScanSettings, frames: np.ndarray, known: dict[str, np.ndarray]) ->
     y = np.arange(s.height, dtype=float)
     x = np.arange(s.width, dtype=float)
     centre = smile(s)
+    places = stencil(s.seeing, s.step if s.seeing > 0 else 0.0)
     out = np.empty((len(frames), s.height, s.width), np.float32)
     for k, t in enumerate(frames.tolist()):
         row = y + known["jitter"][t] - s.height / 2
-        u = (t - (s.frames - 1) / 2) * s.step / s.radius + np.tan(np.radians(s.tilt_deg)) * row / s.radius
+        u = ((t - (s.frames - 1) / 2) * s.step + known["jitter_x"][t]) / s.radius + np.tan(np.radians(s.tilt_deg)) * row / s.radius
         v = row / s.radius
-        core, cont = sun.core(u, v), sun.continuum(u, v)
+        core = cont = 0.0
+        b = known["blur"][t]
+        for dx, dy, w in places:
+            for db, wb in ((-b, 0.27), (0.0, 0.46), (b, 0.27)) if b > 0 else ((0.0, 1.0),):
+                core = core + w * wb * sun.core(u + dx / s.radius, v + (dy + db) / s.radius)
+                cont = cont + w * wb * sun.continuum(u + dx / s.radius, v + (dy + db) / s.radius)
         off = x[None] - centre[:, None] - known["flex"][t] - (sun.velocity(u, v)[:, None] if s.doppler else 0)
         narrow, wide = np.exp(-0.5 * (off / 2.3) ** 2), np.exp(-0.5 * (off / 13.0) ** 2)
         quiet = cont[:, None] * (1 - 0.82 * (0.55 * narrow + 0.45 * wide))
         glow = (core - cont)[:, None] * 0.18 * narrow
         spectrum = np.maximum(quiet + glow, 0) * known["transparency"][t] * known["row_gain"][:, None]
+        if s.water:  # fixed in wavelength: they move with the flexure, not with the Sun
+            for depth, at, wide_ in WATER:
+                spectrum = spectrum * (1 - depth * np.exp(-0.5 * ((x[None] - centre[:, None] - known["flex"][t] - at) / wide_) ** 2))
         counts = 30000 * s.exposure * spectrum + 200
         if s.noise:
             rng = np.random.default_rng((int(known["noise_seed"][0]), t))
@@ -162,10 +207,17 @@ def render(s: ScanSettings, frames: np.ndarray, known: dict[str, np.ndarray]) ->
     return out
 
 
-def scan(spark: SparkSession, s: ScanSettings, scan_id: str = "synthetic", per_task: int = 32) -> DataFrame:
+def scans(spark: SparkSession, s: ScanSettings, n: int) -> DataFrame:
+    """n scans of one Sun, each with its own noise, seeing and clouds."""
+    from functools import reduce
+
+    return reduce(DataFrame.unionByName, (scan(spark, s, f"synthetic-{k}", known=truth(replace(s, seed=s.seed + 7717 * k))) for k in range(n)))
+
+
+def scan(spark: SparkSession, s: ScanSettings, scan_id: str = "synthetic", per_task: int = 32, known: dict[str, np.ndarray] | None = None) -> DataFrame:
     """The scan's frames, rendered where they are needed: frames depend on
     their number alone, so a lost task makes the same ones again."""
-    known = truth(s)
+    known = known or truth(s)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

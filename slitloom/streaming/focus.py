@@ -69,7 +69,8 @@ def measured(pictures: DataFrame, rule: str = "narrowest", least: float = 0.02)
 
 
 class Hold(StatefulProcessor):
-    """Least width and recent history of one axis."""
+    """Least width and recent history of one axis; a row whose `reset` is true
+    forgets both before it is looked at."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.least = handle.getValueState("least", "fwhm double")
@@ -80,7 +81,13 @@ class Hold(StatefulProcessor):
         history = [r[0] for r in self.recent.get()] if self.recent.exists() else []
         out = []
         for pdf in rows:
-            for seq, fwhm, depth in pdf.sort_values("seq")[["seq", "fwhm", "depth"]].itertuples(index=False):
+            pdf = pdf.sort_values("seq")
+            reset = pdf["reset"].fillna(False) if "reset" in pdf else [False] * len(pdf)
+            for (seq, fwhm, depth), again in zip(pdf[["seq", "fwhm", "depth"]].itertuples(index=False), reset, strict=True):
+                if again:
+                    held, history = np.inf, []
+                    self.least.clear()
+                    self.recent.clear()
                 if not np.isfinite(fwhm) or not depth > DEPTH_GATE:
                     continue
                 held = min(held, fwhm)
@@ -100,11 +107,33 @@ def held(measurements: DataFrame) -> DataFrame:
     return measurements.groupBy("axis").transformWithStateInPandas(statefulProcessor=Hold(), outputStructType=HELD, outputMode="Update", timeMode="None")
 
 
+def calibrated(pictures: DataFrame, wavelength: float, dispersion: float, least: float = 0.02) -> DataFrame:
+    """(seq, a, b, rms, n): wavelength = a + b x of each picture's lines, near an
+    expected wavelength and dispersion (Angstrom, a pixel); null without a fit."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = []
+            for seq, w, h, px in zip(pdf["seq"], pdf["width"], pdf["height"], pdf["px"], strict=True):
+                lines = S.all_lines(mean_profile(np.asarray(px).reshape(h, w), True), least)
+                got = S.calibrate(np.array([q["center"] for q in lines]), np.array([q["depth"] for q in lines]), wavelength, dispersion) if lines else None
+                rows.append((seq, *((got or {}).get(k) for k in ("a", "b", "rms", "n"))))
+            yield pd.DataFrame(rows, columns=["seq", "a", "b", "rms", "n"]).astype({"a": float, "b": float, "rms": float, "n": "Int32"})
+
+    return pictures.mapInPandas(run, "seq bigint, a double, b double, rms double, n int")
+
+
 def newest(batch: DataFrame) -> DataFrame:
     """The last measurement of each axis: what is behind it is dropped."""
     return batch.groupBy("axis").agg(F.max_by(F.struct(*(c for c in batch.columns if c != "axis")), "seq").alias("u")).select("axis", "u.*")
 
 
+def stop(query) -> None:
+    """Ends a query when the pictures at hand are done; the same checkpoint goes on from there."""
+    query.processAllAvailable()
+    query.stop()
+
+
 def start(measurements: DataFrame, show: Callable[[DataFrame, int], None], checkpoint: str):
     """A query that hands each micro-batch's newest measurements to show(df, epoch)."""
     return measurements.writeStream.foreachBatch(lambda df, epoch: show(newest(df), epoch)).option("checkpointLocation", checkpoint).start()

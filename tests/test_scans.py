@@ -3,7 +3,7 @@ import json
 import numpy as np
 import pytest
 
-from slitloom.functions import score
+from slitloom.functions import score, spectrum
 from slitloom.plans import reconstruct as R
 from slitloom.sources import pictures, ser
 from slitloom.sources import synthetic as Y
@@ -138,3 +138,68 @@ def test_focus_stream_holds_the_least_width(spark, tmp_path):
 def test_newest_wins(spark):
     df = spark.createDataFrame([("x", 1, 5.0), ("x", 3, 6.0), ("y", 2, 7.0)], "axis string, seq bigint, fwhm double")
     assert sorted(tuple(r) for r in focus.newest(df).collect()) == [("x", 3, 6.0), ("y", 2, 7.0)]
+
+
+def test_conditions_on_the_frame_reach_the_file(spark, tmp_path):
+    px = np.random.default_rng(0).integers(0, 65536, (40, 3, 4)).astype(np.float32)
+    for name in ("a", "b"):
+        (tmp_path / name).mkdir()
+        ser.write_ser(str(tmp_path / name / "scan.ser"), px)
+    spark.dataSource.register(ser.SerDataSource)
+    both = spark.read.format("ser").option("path", f"{tmp_path}/a/scan.ser,{tmp_path}/b/scan.ser").load()
+    assert both.select("scan_id").distinct().count() == 2  # of one name, in two folders
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("ser").option("path", f"{tmp_path}/a/scan.ser").option("framesPerPartition", "5").option("pushdown", "true").load().where("frame > 9 and frame <= 20")
+        assert sorted(r["frame"] for r in df.collect()) == list(range(10, 21)) and df.rdd.getNumPartitions() == 3
+    finally:
+        spark.conf.set("spark.sql.python.filterPushdown.enabled", "false")
+
+
+def test_bursts_are_found_and_mended(spark):
+    s = Y.ScanSettings(width=64, height=260, frames=260, radius=95, step=0.8, bursts=0.25, jitter=0.1, dust=False, cloud=False, seed=5)
+    known = Y.truth(s)
+    assert 0.03 < (known["blur"] > 0).mean() < 0.5
+    y = np.arange(s.height)[:, None] + known["jitter"][None] - s.height / 2
+    frames = Y.scan(spark, s)
+    report = {}
+    for name, o in (("with", R.Options()), ("without", R.Options(bursts=False))):
+        out = R.reconstruct(frames, o).collect()
+        report[name] = json.loads(next(r["report"] for r in out if r["kind"] == "report"))
+    assert report["with"]["bursts"] > 0 and "bursts" not in report["without"] and len(y) == s.height
+
+
+def test_water_lines_show_the_flexure(spark):
+    s = Y.ScanSettings(width=120, height=240, frames=200, radius=95, step=1.0, water=True, flexure=0.8, jitter=0.0, cloud=False, dust=False)
+    out = R.reconstruct(Y.scan(spark, s), R.Options(motion=False)).where("kind = 'report'").collect()
+    assert json.loads(out[0]["report"])["water_lines"] >= 1
+
+
+def test_seeing_widens_the_limb_and_weights_are_one():
+    assert sum(w for *_, w in Y.stencil(1.3, 0.6)) == pytest.approx(1) and Y.stencil(0, 0) == [(0.0, 0.0, 1.0)]
+    s = Y.ScanSettings(width=40, height=260, frames=3, radius=100, noise=False, dust=False, cloud=False, jitter=0.0, tilt_deg=0.0)
+    sharp, soft = (Y.render(q, np.array([1]), Y.truth(q))[0].sum(1) for q in (s, Y.replace(s, seeing=3.0)))
+    assert np.abs(np.diff(soft)).max() < 0.8 * np.abs(np.diff(sharp)).max()
+    assert Y.truth(s)["jitter_x"].max() == 0
+
+
+def test_focus_reset_forgets_the_least_width(spark, tmp_path):
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    rows = [(i, "x", 1, 5.0, f, 0.5, i == 6) for i, f in enumerate([5.0, 3.0, 4.0, 6.0, 5.0, 7.0, 6.5, 8.0])]
+    schema = "seq bigint, axis string, n_lines int, center double, fwhm double, depth double, reset boolean"
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    q = focus.held(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.outputMode("update").format("memory").queryName("again").option("checkpointLocation", str(tmp_path / "state")).start()
+    focus.stop(q)
+    got = {r["seq"]: (r["held"], r["n_recent"]) for r in spark.sql("select * from again").collect()}
+    assert got[5] == (3.0, 6) and got[6] == (6.5, 1) and got[7] == (6.5, 2)
+
+
+def test_each_picture_is_calibrated(spark):
+    x = np.arange(900.0)
+    places = [(w - 4861.34) / 0.6 + 450 for w, *_ in spectrum.CATALOG if abs(w - 4861.34) < 250]  # no two of equal depth
+    dips = sum((0.5 + 0.05 * k) * np.exp(-0.5 * ((x - at) / 3) ** 2) for k, at in enumerate(p for p in [*places, 450.0] if 20 < p < 880))
+    frame = np.tile(30000.0 * (1 - np.minimum(dips, 0.95)), (4, 1))
+    df = spark.createDataFrame([(1, 900, 4, frame.astype(int).ravel().tolist()), (2, 900, 4, [30000] * 3600)], "seq bigint, width int, height int, px array<int>")
+    rows = {r["seq"]: r for r in focus.calibrated(df, 4861.34, 0.6).collect()}
+    assert set(rows) == {1, 2} and rows[2]["a"] is None
+    assert rows[1]["n"] is None or rows[1]["rms"] < 5
