@@ -66,45 +66,33 @@ def block_ranks(text: np.ndarray) -> np.ndarray:
     return rank
 
 
-def _offsets(depth: int) -> list[int]:
-    """Places of blocks that cover `depth` words, the last overlapping if need be."""
-    at = list(range(0, max(1, depth - _STEP + 1), _STEP))
-    if at[-1] + _STEP < depth:
-        at.append(depth - _STEP)
-    return at
-
-
-def suffix_array(text: np.ndarray, depth: int, rank: np.ndarray | None = None) -> np.ndarray:
-    """Places of the suffixes of text in order of their first `depth` words at
-    least; text holds numbers from 0.  Suffixes alike in `depth` words stand
-    together, in no order of their own."""
+def suffix_array(text: np.ndarray, rank: np.ndarray | None = None) -> np.ndarray:
+    """Places of the suffixes of text in order; text holds numbers from 0, and a
+    suffix that ends comes before one that goes on."""
     n = len(text)
     if n == 0:
         return np.zeros(0, np.int64)
     follows = np.append(text[1:], -1)
     direct = text <= follows
-    rank = block_ranks(text) if rank is None else rank
-    # stage one: direct sort, two blocks at a time, only what is still tied
+    rank, width = block_ranks(text) if rank is None else rank, _STEP
+    # stage one: direct sort by ranks of twice as many words each time, only what is still tied
     order = np.flatnonzero(direct)
-    at = _offsets(depth)
     group = np.zeros(len(order), np.int64)
     tied = np.arange(len(order))
-    for i in range(0, len(at), 2):
+    while True:
         place = order[tied]
-        key = rank[np.minimum(place + at[i], n - 1)] * (place + at[i] < n) << 32
-        if i + 1 < len(at):
-            key |= rank[np.minimum(place + at[i + 1], n - 1)] * (place + at[i + 1] < n)
-        by = np.lexsort((key, group[tied])) if i else np.argsort(key)
-        order[tied], key = place[by], key[by]
-        own = group[tied]
+        by = np.lexsort((rank[place], group[tied]))
+        order[tied] = place = place[by]
+        key, own = rank[place], group[tied]
         new = np.r_[True, (key[1:] != key[:-1]) | (own[1:] != own[:-1])]
         # a group is named by the place at which it starts
-        start = np.maximum.accumulate(np.where(new, tied, 0))
-        group[tied] = start
+        group[tied] = np.maximum.accumulate(np.where(new, tied, 0))
         size = np.diff(np.append(np.flatnonzero(new), len(tied)))
         tied = tied[np.repeat(size > 1, size)]
         if not len(tied):
             break
+        rank = _dense(rank << 32 | _shifted(rank, width))
+        width *= 2
     # stage two: induce the others bucket by bucket
     symbols = int(text.max()) + 1
     count = np.bincount(text, minlength=symbols)
@@ -182,7 +170,7 @@ def repeats(stretch: list[np.ndarray], length: int = LENGTH) -> tuple[np.ndarray
     text[~is_end] = name[number]
     text[end] = len(by) + np.arange(len(end))
     rank = block_ranks(text)
-    array = suffix_array(text, length, rank)
+    array = suffix_array(text, rank)
     shared = common_prefixes(text, array, length, rank) >= length
     start = np.maximum.accumulate(np.where(shared, 0, np.arange(len(array))))
     member = shared | np.append(shared[1:], False)

@@ -55,17 +55,17 @@ def test_bit_sliced_pairs_are_those_of_brute_force(n):
 
 def test_two_stage_order_is_that_of_plain_sorting():
     rng = np.random.default_rng(0)
-    for n, a in ((1, 1), (2, 1), (7, 1), (60, 2), (400, 3), (900, 60)):
-        for depth in (1, 2, 8, 9, 50):
-            t = rng.integers(0, a, n)
-            sa = suffixes.suffix_array(t, depth)
-            assert sorted(sa.tolist()) == list(range(n))
-            keys = [t[i : i + depth].tolist() for i in sa]
-            assert keys == sorted(keys)
-            shared = suffixes.common_prefixes(t, sa, depth)
+    texts = [rng.integers(0, a, n) for n, a in ((1, 1), (2, 1), (7, 1), (60, 2), (400, 3), (900, 60))]
+    texts += [np.tile(np.arange(5), 60), np.r_[np.tile([3, 1], 100), 9, np.tile([3, 1], 100), 8], np.zeros(300, int)]  # long common prefixes
+    for t in texts:
+        t, n = t.astype(np.int64), len(t)
+        sa = suffixes.suffix_array(t)
+        assert sa.tolist() == sorted(range(n), key=lambda i: t[i:].tolist())  # noqa: B023
+        for limit in (1, 8, 9, 50):
+            shared = suffixes.common_prefixes(t, sa, limit)
             for i in range(1, n):
                 c = 0
-                while c < depth and max(sa[i], sa[i - 1]) + c < n and t[sa[i] + c] == t[sa[i - 1] + c]:
+                while c < limit and max(sa[i], sa[i - 1]) + c < n and t[sa[i] + c] == t[sa[i - 1] + c]:
                     c += 1
                 assert c == shared[i]
 
