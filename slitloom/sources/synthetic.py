@@ -125,18 +125,24 @@ class Sun:
 def truth(s: ScanSettings) -> dict[str, np.ndarray]:
     """Series by frame and row that a scan is made with."""
     rng = np.random.default_rng(s.seed + 1)
-    walk = np.zeros(s.frames)
-    for i in range(1, s.frames):
-        walk[i] = 0.6 * walk[i - 1] + rng.normal(0, 0.8)
+    t = np.arange(s.frames)
+
+    def correlated(keep: float, spread: float) -> np.ndarray:
+        out, step = np.zeros(s.frames), rng.normal(0, spread, s.frames)
+        for i in range(s.frames):
+            out[i] = keep * out[i - 1] + step[i]
+        return out
+
+    walk, drift = correlated(0.9, np.sqrt(1 - 0.81)), 1.2 * np.sin(2.7 * t / s.frames) * t / s.frames
     cloud = np.ones(s.frames)
-    if s.cloud:
-        cloud = 1 - 0.18 * N.smooth(np.abs(rng.normal(0, 1, s.frames)), 2) * (N.smooth(rng.normal(0, 1, s.frames), 12) > 0)
+    if s.cloud:  # a slow wave, flicker, and one cloud
+        cloud = np.clip(1 + 0.03 * np.sin(t / 140) + correlated(0.92, 0.008) - 0.15 * np.exp(-(((t - 0.358 * s.frames) / 12) ** 2)), 0.6, 1.2)
     rows = np.ones(s.height)
     if s.dust:
         for _ in range(14):
-            rows -= rng.uniform(0.02, 0.08) * np.exp(-(((np.arange(s.height) - rng.uniform(0, s.height)) / rng.uniform(0.7, 3)) ** 2))
+            rows *= 1 - rng.uniform(0.02, 0.12) * np.exp(-(((np.arange(s.height) - rng.uniform(10, s.height - 10)) / rng.uniform(0.6, 2.8)) ** 2))
     flex = s.flexure * np.sin(np.linspace(0, 2 * np.pi, s.frames))
-    jitter, jitter_x, blur = s.jitter * walk, np.zeros(s.frames), np.zeros(s.frames)
+    jitter, jitter_x, blur = s.jitter * walk + (drift if s.jitter > 0 else 0.0), np.zeros(s.frames), np.zeros(s.frames)
     more = np.random.default_rng(s.seed + 7)
     if s.jitter_x > 0:
         for i in range(1, s.frames):
