@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -135,7 +136,10 @@ def covariance(vectors: DataFrame, column: str, sample: Column | None = None) ->
             yield pa.RecordBatch.from_pandas(pdf, preserve_index=False)
 
     partial = rows.mapInArrow(run, _GRAM)
-    whole = partial.repartition(32).mapInPandas(_joined_grams, _GRAM).repartition(1).mapInPandas(_joined_grams, _GRAM)
+    some = math.isqrt(max(1, rows._jdf.rdd().getNumPartitions()))  # each task of either step joins about as many
+    if some > 1:
+        partial = partial.repartition(some).mapInPandas(_joined_grams, _GRAM)
+    whole = partial.repartition(1).mapInPandas(_joined_grams, _GRAM)
     cells = whole.select("n", F.size("mean").alias("d"), F.posexplode("gram").alias("k", "g"))
     i, j = F.floor(F.col("k") / F.col("d")).cast("int"), (F.col("k") % F.col("d")).cast("int")
     return cells.select(i.alias("i"), j.alias("j"), (F.col("g") / F.col("n")).alias("cov")).where("j >= i")
