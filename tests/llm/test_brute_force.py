@@ -422,3 +422,44 @@ def test_groups_of_more_than_a_shard_are_dealt(spark):
         load_[r["shard"]] += [r["n_bytes"], r["n_tokens"], r["n_rows"]]
     load_ = np.array(list(load_.values()))
     assert len(got) == 460 and len(load_) == 10 and (load_ / load_.mean(0)).max() < 1.5
+
+
+def test_bands_and_what_they_keep_by_plain_loops(spark):
+    """Every document's verdict, over a whole table, from lists and sorting."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = fertility.metrics(docs).collect()
+    half_up = lambda x: math.floor(x + 0.5)
+    octave = lambda r, m: int(math.log2(max(r["n_tokens"], 1))) if m == "entropy" else 0
+    names = lambda r: {"band": r["lang"] or r["script"] or "none", "wide": r["script"] or "none", "all": ""}
+    held = defaultdict(list)
+    for r in rows:
+        for m in fertility.FLOOR:
+            if r[m] is not None:
+                for level, key in names(r).items():
+                    held[m, level, key, octave(r, m)].append((r[m] * 1000, max(r["n_tokens"], 1)))
+    low = lambda v: sorted(v)[(len(v) + 1) // 2 - 1]
+    own = {}
+    for cell, v in held.items():
+        centre = low([half_up(x) for x, _ in v])
+        spread = low([half_up(abs(x - centre) / math.sqrt(1 + fertility.HALF / n)) for x, n in v])
+        own[cell] = (centre / 1000, max(spread * 1.4826 / 1000, fertility.FLOOR[cell[0]]), len(v))
+    whole = {}
+    for m in fertility.FLOOR:
+        parent = None
+        for o in sorted(c[3] for c in own if c[0] == m and c[1] == "all"):
+            mine = own[m, "all", "", o]
+            parent = fertility.leaning(mine, parent or (mine[0], fertility.PRIOR_SPREAD[m]))
+            whole[m, o] = parent
+    want = {}
+    for r in rows:
+        ok = r["n_tokens"] > 0
+        for m in fertility.FLOOR:
+            if r[m] is None:
+                continue
+            key = names(r)
+            centre, spread = fertility.leaning(own[m, "band", key["band"], octave(r, m)], fertility.leaning(own[m, "wide", key["wide"], octave(r, m)], whole[m, octave(r, m)]))
+            z = (r[m] - centre) / (spread * math.sqrt(1 + fertility.HALF / max(r["n_tokens"], 1)))
+            ok = ok and (z if m == "byte_share" else abs(z)) < fertility.WIDTH
+        want[r["doc_id"]] = ok
+    got = {r["doc_id"]: r["kept"] for r in fertility.judged(docs).collect()}
+    assert got == want and 0.5 < sum(want.values()) / len(want) < 1
