@@ -7,8 +7,10 @@ connected components of that relation; the least doc_id of a group stays.
 
 Candidates come from `tables` keys of `key_bits` sampled bits, as many as it
 takes for a pair at the radius itself to share one with chance RECALL, whatever
-the number of documents.  Inside a bucket the signatures are kept as bit planes
-(64 documents to a word), the distances of many pairs grow together in
+the number of documents.  Inside a bucket of up to SMALL signatures the bits in
+which each pair differs are counted, those of the second half only where the
+first is within the radius.  The signatures of a larger bucket are kept as bit
+planes (64 documents to a word), the distances of many pairs grow together in
 carry-save counters, and a block of 64 pairs is dropped once all of its counters
 exceed the radius.  A bucket of more than LARGE signatures is dealt to several
 tasks, two parts of it at a time.
@@ -38,8 +40,12 @@ RECALL = 0.9
 LARGE = 1 << 15
 _SIG = [f"s{i}" for i in range(BITS // 64)]
 _SALTS = np.random.default_rng(7).integers(1, 1 << 63, BITS // 64, dtype=np.uint64)
-#: Bucket sizes up to this are compared by shifts of the sorted planes, larger ones query by query.
-SMALL = 48
+#: Bucket sizes up to this are compared by shifts of the sorted signatures, larger ones query by query.
+SMALL = 1024
+#: Pairs compared at once by a shift; bounds what a task holds.
+SHIFTED = 1 << 15
+#: Pairs that a task finds before it keeps only those that join the same signatures.
+ENOUGH = 1 << 21
 #: Pairs of 64-document blocks and queries that are compared at once.
 QUERIES = 256
 
@@ -150,18 +156,22 @@ def bucket_pairs(sig: np.ndarray, bucket: np.ndarray, radius: int) -> Iterator[t
     size = np.diff(np.r_[start, len(bucket)])
     rank = np.arange(len(bucket)) - np.repeat(start, size)
     of = np.repeat(size, size)
+    word = np.ascontiguousarray(sig[order].T)
+    half = len(word) // 2
+    apart = lambda words, a, b: sum(np.bitwise_count(w[a] ^ w[b]).astype(np.int16) for w in words)
+    rows = np.flatnonzero(of <= SMALL)
     for shift in range(1, int(min(SMALL, size.max(initial=0)))):
-        rows = np.flatnonzero((of <= SMALL) & (of > shift))
+        rows = rows[rank[rows] + shift < of[rows]]
         if not len(rows):
             break
-        left = rows[rank[rows] + shift < of[rows]]
-        for i in range(0, len(left), 1 << 16):
-            a = order[left[i : i + (1 << 16)]]
-            b = order[left[i : i + (1 << 16)] + shift]
-            planes = to_planes(sig[a] ^ sig[b])
-            hit = _lanes(near(lambda p, live, planes=planes: planes[p, live], radius, planes.shape[1]), len(a))
-            if len(hit):
-                yield a[hit], b[hit]
+        for i in range(0, len(rows), SHIFTED):
+            a = rows[i : i + SHIFTED]
+            bits = apart(word[:half], a, a + shift)
+            some = np.flatnonzero(bits <= radius)
+            a = a[some]
+            a = a[bits[some] + apart(word[half:], a, a + shift) <= radius]
+            if len(a):
+                yield order[a], order[a + shift]
     for s, n in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
         rows = order[s : s + n]
         planes = to_planes(sig[rows])
@@ -262,10 +272,14 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
                 key = T.signed(T.mix(bucket[both[:1]].view(np.uint64) + np.uint64(i << 20 | j)))[0]
                 yield pa.RecordBatch.from_arrays([pa.nulls(len(both), pa.int64())] * 2 + [pa.array(np.full(len(both), key)), pa.array(rep[both]), *(pa.array(T.signed(sig[both, k])) for k in range(len(_SIG)))], _names)
         rest = np.flatnonzero(rest)
-        a, b = [], []
+        a, b, found = [], [], 0
         for i, j in bucket_pairs(sig[rest], bucket[rest], radius):
             a.append(rep[rest[i]])
             b.append(rep[rest[j]])
+            found += len(i)
+            if found > ENOUGH:  # a cluster of m copies gives m * m / 2 pairs, and m - 1 of them join it
+                x, y = spanning(np.concatenate(a), np.concatenate(b))
+                a, b, found = [x], [y], 0
         if a:
             x, y = spanning(np.concatenate(a), np.concatenate(b))
             yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), *[pa.nulls(len(x), pa.int64())] * (2 + len(_SIG))], _names)

@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -53,6 +54,30 @@ def test_bit_sliced_pairs_are_those_of_brute_force(n):
     assert (distance[a, b] <= 46).all() or n > simhash.SMALL
 
 
+def test_pairs_of_middling_buckets_cost_little_each():
+    rng = np.random.default_rng(3)
+    n = 60_000
+    sig = rng.integers(0, 1 << 63, (n, 4), dtype=np.uint64)
+    sig[n // 2 : n // 2 + 500] = sig[:500]
+    sig[n // 2 : n // 2 + 500, 3] ^= np.uint64(0xFFFF)
+    bucket = rng.integers(0, n // 60, n)
+    bucket[n // 2 : n // 2 + 500] = bucket[:500]
+    began = time.thread_time()
+    pairs = list(simhash.bucket_pairs(sig, bucket, 46))
+    took = time.thread_time() - began
+    size = np.bincount(bucket)
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    assert {tuple(sorted(p)) for p in zip(a.tolist(), b.tolist(), strict=True)} == {(i, n // 2 + i) for i in range(500)}
+    assert took < 120e-9 * (size * (size - 1) // 2).sum()
+
+
+def test_many_pairs_of_a_task_join_the_same(spark, monkeypatch):
+    texts = [" ".join(f"w{j}" if j != i else "x" for j in range(200)) for i in range(60)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    monkeypatch.setattr(simhash, "ENOUGH", 10)
+    assert sorted((r["doc_id"], r["duplicate_of"]) for r in simhash.near_duplicates(docs).collect()) == [(i, 0) for i in range(1, 60)]
+
+
 def test_two_stage_order_is_that_of_plain_sorting():
     rng = np.random.default_rng(0)
     texts = [rng.integers(0, a, n) for n, a in ((1, 1), (2, 1), (7, 1), (60, 2), (400, 3), (900, 60))]
