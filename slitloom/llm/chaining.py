@@ -9,7 +9,10 @@
    earlier places that is all of them.  Beyond, such places are paired with the
    next of their document, and the pairs are seeds of their own, of about 12,
    then 22, then 44 words.  At the last length the first holder holds a passage
-   by itself.
+   by itself.  Places that no passage covers even then are compared with all
+   earlier places of their seed, however many: by the words around both, on
+   the seed's diagonal and, if HALF of a passage's words match there, on one
+   other diagonal on each side.  Those that hold a passage there are links too.
 3. Links of one pair of documents that lie on one diagonal become segments;
    segments are chained in order, with linear gap costs, by prefix maxima in a
    Fenwick tree.
@@ -22,8 +25,9 @@
 
 from __future__ import annotations
 
+import itertools
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -52,6 +56,14 @@ MISS = -2
 LEAST_SCORE = 10
 #: Words that must match for a stretch to have MIN_WORDS words and LEAST_SCORE.
 LEAST_MATCHED = -(-(LEAST_SCORE - MISS * MIN_WORDS) // (1 - MISS))
+#: Words that must match near a seed on its diagonal for others to be tried: one of two diagonals has so many.
+HALF = -(-LEAST_MATCHED // 2)
+#: Words on each side of a seed that another diagonal may reach.
+SIDE = REACH + MAX_GAP
+#: Places of a seed that one task compares with each other; more are dealt to several, two parts at a time.
+LARGE = 1 << 15
+#: Places of a seed up to this are compared pair by pair, more in blocks of about so many pairs.
+FEW, BLOCK = 48, 1 << 16
 #: Documents to be cut, up to which their cuts are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_CUTS = 200_000
 
@@ -292,6 +304,212 @@ def _more_links(joined: DataFrame, n: int) -> DataFrame | None:
     return links
 
 
+def _around(texts: np.ndarray, first: np.ndarray, before: np.ndarray) -> np.ndarray:
+    """(SIDE + K + SIDE, rows): the words around each place, `before` of which
+    come before it.  What is outside of its text is a number of the row's own."""
+    rows, wide = len(before), 2 * SIDE + K
+    out = np.empty((rows, wide), np.uint16)
+    out[:] = (T.mix(np.arange(rows, dtype=np.uint64)) >> np.uint64(48)).astype(np.uint16)[:, None]
+    size = np.minimum(np.diff(first), wide - SIDE + before)
+    out.ravel()[_ranges(np.arange(rows) * wide + SIDE - before, size)] = texts[_ranges(first[:-1], size)]
+    return np.ascontiguousarray(out.T)
+
+
+def _matching(words: np.ndarray, doc: np.ndarray, part: np.ndarray, open_: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (i, j) of places of one seed (start[k]..stop[k], sorted by document)
+    that have HALF words in common on their diagonal; i is open and in a
+    later document.  Of a seed dealt in two parts, the pairs between them."""
+
+    def fit(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return (doc[j] < doc[i]) & ((part[i] < 0) | (part[i] != part[j]))
+
+    size = stop - start
+    few = np.flatnonzero((size <= FEW) & (size > 1))
+    mine = _ranges(start[few], size[few])
+    rank, of = mine - np.repeat(start[few], size[few]), mine
+    for shift in range(1, int(size[few].max(initial=0))):
+        some = rank >= shift
+        rank, of = rank[some], of[some]
+        i = of[open_[of]]
+        i = i[fit(i, i - shift)]
+        for at in range(0, len(i), BLOCK):
+            x = i[at : at + BLOCK]
+            same = np.zeros(len(x), np.uint8)
+            for w in words:
+                same += w[x] == w[x - shift]
+            hit = x[same >= HALF]
+            if len(hit):
+                yield hit, hit - shift
+    for s, e in zip(start[size > FEW].tolist(), stop[size > FEW].tolist(), strict=True):
+        rows = s + np.flatnonzero(open_[s:e])
+        for k in range(0, len(rows), 64):
+            x = rows[k : k + 64]
+            top = s + int(np.searchsorted(doc[s:e], doc[x[-1]]))
+            for q in range(s, top, BLOCK // 64):
+                y = slice(q, min(q + BLOCK // 64, top))
+                same = np.zeros((len(x), y.stop - q), np.uint8)
+                for w in words:
+                    same += w[x, None] == w[None, y]
+                i, j = np.nonzero(same >= HALF)
+                i, j = x[i], q + j
+                good = fit(i, j)
+                if good.any():
+                    yield i[good], j[good]
+
+
+def _some(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The same pairs, n at a time."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    for pair in itertools.chain(pairs, [None]):
+        held += [pair] if pair else []
+        if held and (pair is None or sum(len(x) for x, _ in held) >= n):
+            x, y = (np.concatenate(z) for z in zip(*held, strict=True))
+            yield from ((x[k : k + n], y[k : k + n]) for k in range(0, len(x), n))
+            held = []
+
+
+def _on_diagonal(hit: np.ndarray) -> np.ndarray:
+    """(first, end) of the best stretch of each row of matches, end 0 where a row
+    has no passage.  A passage that reaches beyond the row on a side has a score
+    of 0 at least within it, and so two thirds of REACH + K words or more."""
+    acc = np.concatenate([np.zeros((len(hit), 1), np.int16), np.cumsum(np.where(hit, 1, MISS), 1, dtype=np.int16)], 1)
+    low = np.minimum.accumulate(acc, 1)
+    end = (acc - low).argmax(1)
+    row = np.arange(len(hit))
+    begin = np.where(np.arange(acc.shape[1]) <= end[:, None], acc, np.int16(1 << 14)).argmin(1)
+    good = (end - begin >= MIN_WORDS) & (acc[row, end] - acc[row, begin] >= LEAST_SCORE) | (hit.sum(1) >= 2 * (REACH + K) // 3)
+    for k in np.flatnonzero(~good & (hit.sum(1) >= LEAST_MATCHED) & ((begin >= MIN_WORDS) | (hit.shape[1] - end >= MIN_WORDS))).tolist():
+        for s, e in stretches(hit[k])[:1]:
+            begin[k], end[k], good[k] = s, e, True
+    return np.stack([begin, np.where(good, end, 0)])
+
+
+def _bent(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(before, after, whether) for columns of words around a seed: the words of x
+    before and after the seed that a passage has, if on each side it may leave the
+    seed's diagonal for one other."""
+    reach = []
+    for way, seed in ((-1, SIDE - 1), (1, SIDE + K)):
+        straight, best = np.zeros(x.shape[1], np.int8), [np.zeros(x.shape[1], np.int8)]
+        other = np.full((2 * MAX_GAP + 1, x.shape[1]), -128, np.int8)
+        for t in range(REACH):
+            at = seed + way * t
+            # y's word is not on the other side of the seed
+            lo, hi = (max(-MAX_GAP, -t), MAX_GAP + 1) if way > 0 else (-MAX_GAP, min(MAX_GAP, t) + 1)
+            now = other[lo + MAX_GAP : hi + MAX_GAP]
+            np.maximum(now, straight, out=now)
+            now += (y[at + lo : at + hi] == x[at]).view(np.int8) * np.int8(1 - MISS)
+            now += np.int8(MISS)
+            straight = straight + np.where(x[at] == y[at], 1, MISS).astype(np.int8)
+            best.append(np.maximum(now.max(0), straight))
+        reach.append(np.stack(best).astype(np.int16))
+    left, right = reach
+    n = np.arange(x.shape[1])
+    a, b = left.argmax(0), right.argmax(0)
+    beyond = np.maximum(left[a, n] + right[-1], left[-1] + right[b, n]) >= -K
+    over = left[a, n] + right[-1] >= left[-1] + right[b, n]
+    before, after, score = np.where(over, a, REACH), np.where(over, REACH, b), np.full(len(n), -1000)
+    for k in range(REACH + 1):
+        least = max(0, MIN_WORDS - K - k)
+        end = least + right[least:].argmax(0)
+        now = K + left[k] + right[end, n]
+        more = (now > score) & (now >= LEAST_SCORE)
+        before, after, score = np.where(more, k, before), np.where(more, end, after), np.where(more, now, score)
+    return np.stack([before, after, (score >= LEAST_SCORE) | beyond])
+
+
+def _bends(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """(number, place in x, place in y) for columns of words around a seed: where the
+    longest run of matches before the seed begins, and the longest after it."""
+    out, n = [], np.arange(x.shape[1])
+    for begin, low, high in ((SIDE - REACH, 0, SIDE), (SIDE + K, SIDE + K, len(y))):
+        run = np.zeros((high - low + 1, len(n)), np.int16)
+        best, here, there = np.ones(len(n), np.int16), np.zeros(len(n), np.int64), np.zeros(len(n), np.int64)
+        for t in range(begin, begin + REACH):
+            run[1:] = np.where(y[low:high] == x[t], run[:-1] + 1, 0)
+            k = run.argmax(0)
+            long = run[k, n]
+            more = long > best
+            best, here, there = np.where(more, long, best), np.where(more, t + 1 - long, here), np.where(more, low + k - long, there)
+        some = np.flatnonzero(best > 1)
+        out.append(np.stack([some, here[some] - SIDE, there[some] - SIDE]))
+    return np.concatenate(out, 1)
+
+
+_PAIR = "doc_id bigint, src bigint, b int, a int"
+
+
+def _rest_links(rest: DataFrame, joined: DataFrame, words: Callable[[DataFrame], DataFrame], n: int) -> DataFrame:
+    """_PAIR: of all earlier places of the seeds of rest (doc_id, b, hash), those
+    that hold a passage on the diagonal; of those that hold the same words of the
+    document around a place, the one in the least document."""
+    hot = sized(stored(rest.select(F.col("hash").alias("__hash")).distinct(), "hot"))
+    held = joined.join(hot, F.col("hash") == F.col("__hash"), "left_semi")
+    # those not listed themselves are among a seed's first places
+    firsts = F.explode(F.array(*(F.struct(F.col(f"s{j}").alias("doc_id"), F.col(f"a{j}").alias("b")) for j in range(PLACES)))).alias("x")
+    first = held.where("s0 is not null").select("hash", firsts).where("x.doc_id is not null").select("hash", "x.doc_id", "x.b", F.lit(0).alias("open"))
+    places = held.select("hash", "doc_id", "b", F.lit(0).alias("open")).unionByName(first).unionByName(rest.select("hash", "doc_id", "b", F.lit(1).alias("open")))
+    places = places.groupBy("hash", "doc_id", "b").agg(F.max("open").alias("open"))
+    at, b = F.col("doc_id"), F.col("b")
+    requests = places.select(at.alias("at"), F.lit(1).alias("kind"), "doc_id", F.col("hash").alias("src"), b.alias("b0"), F.col("open").alias("a0"), F.greatest(F.lit(0), b - SIDE).alias("lo"), (b + K + SIDE).alias("hi"), F.lit(None).cast("binary").alias("payload"))
+    requests = stored(requests, "places")
+    cut = _cut(requests, words(requests), n).select(F.col("src").alias("hash"), "doc_id", F.col("b0").alias("b"), F.col("a0").alias("open"), "words")
+    many = stored(requests.groupBy("src").count().where(F.col("count") > LARGE).select(F.col("src").alias("__src"), F.ceil(F.col("count") / (LARGE // 2)).cast("int").alias("__parts")), "many")
+    none = F.lit(-1)
+    if many.isEmpty():
+        dealt = cut.withColumns({"part": none, "i": none, "j": none})
+    else:
+        part = F.pmod(F.xxhash64("doc_id"), F.col("__parts")).cast("int")
+        dealt = cut.join(sized(many), F.col("hash") == F.col("__src"), "left").withColumn("part", F.coalesce(part, none))
+        # a part meets itself, with no part named, and every other
+        dealt = dealt.withColumn("other", F.explode(F.when(F.col("part") < 0, F.array(none)).otherwise(F.sequence(F.lit(0), F.col("__parts") - 1))))
+        dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).withColumn("part", F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("part")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for table in whole_groups(batches, "group"):
+            table = table.combine_chunks()
+            doc, b, open_, part = (table[c].to_numpy() for c in ("doc_id", "b", "open", "part"))
+            group = table["group"].to_numpy()
+            texts, at = _flat(table["words"], np.uint16)
+            around = _around(texts, at, np.minimum(b, SIDE))
+            left, right = -np.minimum(b, SIDE), np.diff(at) - np.minimum(b, SIDE)  # words there are, from the place
+            near = slice(SIDE - REACH, SIDE + K + REACH)
+            start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
+            found: list[np.ndarray] = []
+            for i, j in _some(_matching(around[near], doc, part, open_ == 1, start, np.append(start[1:], len(group)))):
+                one, other = around[:, i], around[:, j]
+                first, end = _on_diagonal((one[near] == other[near]).T)
+                good = np.flatnonzero(end)
+                found.append(np.stack([i[good], first[good], end[good], j[good]]))
+                bent = np.flatnonzero(end == 0)
+                if len(bent):
+                    before, after, good = _bent(one[:, bent], other[:, bent])
+                    bent, before, after = (z[good == 1] for z in (bent, before, after))
+                    found.append(np.stack([i[bent], -1 - before, after, j[bent]]))
+                if sum(f.shape[1] for f in found) > BLOCK:
+                    found = [_least(np.concatenate(found, 1))]
+            if found:
+                i, first, _, j = _least(np.concatenate(found, 1))
+                turn = np.flatnonzero(first < 0)
+                bends = [_bends(around[:, i[t]], around[:, j[t]]) + np.array([[k], [0], [0]]) for k, t in ((k, turn[k : k + 256]) for k in range(0, len(turn), 256))]
+                t, p, q = np.concatenate([np.zeros((3, 0), np.int64), *bends], 1)
+                x, y = i[turn[t]], j[turn[t]]
+                inside = (p >= left[x]) & (p < right[x]) & (q >= left[y]) & (q < right[y])
+                x, y, p, q = (z[inside] for z in (x, y, p, q))
+                cols = [np.r_[doc[i], doc[x]], np.r_[doc[j], doc[y]], np.r_[b[i], (b[x] + p).astype(np.int32)], np.r_[b[j], (b[y] + q).astype(np.int32)]]
+                if len(i):
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _names(_PAIR))
+
+    dealt = dealt.select(F.xxhash64("hash", "i", "j").alias("group"), "doc_id", "b", "open", "part", "words")
+    return dealt.repartition(n, "group").sortWithinPartitions("group", "doc_id", "b").mapInArrow(run, _PAIR)
+
+
+def _least(found: np.ndarray) -> np.ndarray:
+    """Of columns (i, first, end, j), for each of the first three the least j; j follow the documents."""
+    found = found[:, np.lexsort(found[::-1])]
+    return found[:, np.r_[True, (found[:3, 1:] != found[:3, :-1]).any(0)]] if found.shape[1] else found
+
+
 def _binary(flat: np.ndarray, size: np.ndarray) -> pa.Array:
     """A binary column of consecutive pieces of flat, of `size` items each."""
     offsets = np.zeros(len(size) + 1, np.int32)
@@ -464,20 +682,25 @@ def passages(docs: DataFrame) -> DataFrame:
         zero, none = pa.array(np.zeros(len(size), np.int32)), pa.nulls(len(size), pa.int64())
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), zero, none, none, zero, zero, zero, pa.array(size), payload], _names(_REQUEST))
 
+    def words(requests: DataFrame) -> DataFrame:
+        """Those of the documents asked for, where these are few."""
+        asked = stored(requests.select(F.col("at").alias("__at")).distinct(), "asked")
+        few = asked.count() <= BROADCAST_IDS
+        return map_text(plain.join(F.broadcast(asked), F.col("doc_id") == F.col("__at"), "left_semi") if few else plain, spell, _REQUEST)
+
     def aligned(links: DataFrame, few: bool) -> DataFrame:
         requests = stored(_chains(links, n), "chains")
-        texts = plain
-        if few:  # only some documents are asked for
-            asked = stored(requests.select(F.col("at").alias("__at")).distinct(), "asked")
-            if asked.count() <= BROADCAST_IDS:
-                texts = plain.join(F.broadcast(asked), F.col("doc_id") == F.col("__at"), "left_semi")
-        return _aligned(_cut(requests, map_text(texts, spell, _REQUEST), n), n)
+        return _aligned(_cut(requests, words(requests) if few else map_text(plain, spell, _REQUEST), n), n)
 
     joined = stored(_joined(map_text(plain, seed, _SEED), n), "links")
     found = stored(aligned(_pairs(joined, range(1)), False), "passages")
     links = _more_links(_uncovered(joined, found), n)
     if links is not None:
-        found = found.unionByName(aligned(links, True))
+        found = found.unionByName(stored(aligned(links, True), "passages"))
+        # places with more before them than those linked
+        rest = stored(_uncovered(joined.where(f"s{2 * PLACES - 1} is not null"), found).where("open").select("doc_id", "b", "hash"), "rest")
+        if not rest.isEmpty():
+            found = found.unionByName(aligned(_rest_links(rest, joined, words, n), True))
     least = F.min(F.struct("source_id", "source_start", "source_end", "matched")).alias("x")
     return found.groupBy("doc_id", "start_word", "end_word").agg(least).select("doc_id", "start_word", "end_word", "x.*")
 

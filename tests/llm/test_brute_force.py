@@ -463,3 +463,58 @@ def test_bands_and_what_they_keep_by_plain_loops(spark):
         want[r["doc_id"]] = ok
     got = {r["doc_id"]: r["kept"] for r in fertility.judged(docs).collect()}
     assert got == want and 0.5 < sum(want.values()) / len(want) < 1
+
+
+def brute_passages(words, links):
+    """Of links (doc, src, b, a) those whose words on the diagonal, or left and right of a gap, are a passage; by plain loops."""
+    want = set()
+    for d, s, b, a in links:
+        x, y = words[d], words[s]
+        hit = np.array([0 <= k + a - b < len(y) and x[k] == y[k + a - b] for k in range(len(x))])
+        if any(lo <= b and b + chaining.K <= hi for lo, hi in chaining.stretches(hit)):
+            want.add((d, s))
+    return want
+
+
+@pytest.mark.parametrize("large", [chaining.LARGE, 8])
+def test_edited_passages_whose_lines_many_hold_apart(spark, monkeypatch, large):
+    """Every earlier holder of a seed counts, however many come before the one that holds the passage."""
+    monkeypatch.setattr(chaining, "LARGE", large)
+    monkeypatch.setattr(chaining, "FEW", 12)
+    rng = random.Random(77)
+    texts: dict[int, str] = {}
+    last = []
+    for group in range(24):
+        one, two = sentence(rng, 26).split(), sentence(rng, 26).split()
+        apart = lambda: [f"{sentence(rng, 60)} {' '.join(line)} {sentence(rng, 60)}" for line in (one, two) for _ in range(4 + group // 2)]  # noqa: B023, E731
+        hidden = [f"e{group}x{k}" for k in range(4)]  # the words about the seam, of which the longer seeds are made, differ
+        source, copy = one + two, one[:-2] + hidden + two[2:]
+        rows = [*apart(), f"{sentence(rng, 60)} {' '.join(source)} {sentence(rng, 60)}", *apart(), f"{sentence(rng, 60)} {' '.join(copy)} {sentence(rng, 60)}"]
+        texts |= {1000 * group + k: t for k, t in enumerate(rows)}
+        last.append((1000 * group + len(rows) - 1, 1000 * group + 8 + group // 2 * 2))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    words, places = split(texts), defaultdict(list)
+    for d in texts:
+        g, at = T.minimizers(np.array(words[d], np.uint64), np.array([0, len(words[d])]), chaining.K, chaining.W)
+        for h, p in zip(g.tolist(), at.tolist(), strict=True):
+            places[h].append((d, p))
+    want = brute_passages(words, [(d, s, b, a) for held in places.values() for d, b in held for s, a in held if s < d])
+    assert set(last) <= want
+    got = {(r["doc_id"], r["source_id"]) for r in chaining.passages(docs).collect()}
+    assert want <= got
+
+
+def test_passages_with_words_put_in_where_many_hold_the_lines_apart(spark):
+    rng = random.Random(78)
+    texts, last = {}, []
+    for group in range(24):
+        one, two = sentence(rng, 28).split(), sentence(rng, 28).split()
+        apart = lambda: [f"{sentence(rng, 60)} {' '.join(line)} {sentence(rng, 60)}" for line in (one, two) for _ in range(6)]  # noqa: B023, E731
+        put = [f"e{group}x{k}" for k in range(1 + group % 5)]
+        pair = [one + two, one[:-1] + put + two[1:]][:: 1 if group % 2 else -1]
+        rows = [*apart(), f"{sentence(rng, 60)} {' '.join(pair[0])} {sentence(rng, 60)}", *apart(), f"{sentence(rng, 60)} {' '.join(pair[1])} {sentence(rng, 60)}"]
+        texts |= {1000 * group + k: t for k, t in enumerate(rows)}
+        last.append((1000 * group + len(rows) - 1, 1000 * group + 12))
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    got = {(r["doc_id"], r["source_id"]) for r in chaining.passages(docs).collect()}
+    assert set(last) <= got
