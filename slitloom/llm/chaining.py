@@ -61,7 +61,7 @@ HALF = -(-LEAST_MATCHED // 2)
 #: Words on each side of a seed that another diagonal may reach.
 SIDE = REACH + MAX_GAP
 #: Places of a seed that one task compares with each other; more are dealt to several, two parts at a time.
-LARGE = 1 << 15
+LARGE = 1 << 13
 #: Places of a seed up to this are compared pair by pair, more in blocks of about so many pairs.
 FEW, BLOCK = 48, 1 << 16
 #: Documents to be cut, up to which their cuts are broadcast; beyond, they are joined by a shuffle.
