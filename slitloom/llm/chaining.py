@@ -60,10 +60,16 @@ LEAST_MATCHED = -(-(LEAST_SCORE - MISS * MIN_WORDS) // (1 - MISS))
 HALF = -(-LEAST_MATCHED // 2)
 #: Words on each side of a seed that another diagonal may reach.
 SIDE = REACH + MAX_GAP
-#: Places of a seed that one task compares with each other; more are dealt to several, two parts at a time.
+#: Places of a seed of which one least document is kept for equal words; of more, one for every LARGE // 2.
 LARGE = 1 << 13
+#: So many of these parts of a seed's places go to a task together, and meet those of one other task.
+TOGETHER = 4
 #: Places of a seed up to this are compared pair by pair, more in blocks of about so many pairs.
 FEW, BLOCK = 48, 1 << 16
+#: Where more than one in DENSE pairs share their word, all are compared.
+DENSE = 32
+#: Bits that tell which words stand on one side of a place.
+BITS = 1 << 11
 #: Documents to be cut, up to which their cuts are broadcast; beyond, they are joined by a shuffle.
 BROADCAST_CUTS = 200_000
 
@@ -315,14 +321,10 @@ def _around(texts: np.ndarray, first: np.ndarray, before: np.ndarray) -> np.ndar
     return np.ascontiguousarray(out.T)
 
 
-def _matching(words: np.ndarray, doc: np.ndarray, part: np.ndarray, open_: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def _matching(words: np.ndarray, doc: np.ndarray, part: np.ndarray, open_: np.ndarray, start: np.ndarray, stop: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
     """Pairs (i, j) of places of one seed (start[k]..stop[k], sorted by document)
-    that have HALF words in common on their diagonal; i is open and in a
-    later document.  Of a seed dealt in two parts, the pairs between them."""
-
-    def fit(i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        return (doc[j] < doc[i]) & ((part[i] < 0) | (part[i] != part[j]))
-
+    that have HALF words in common on their diagonal, and how many; i is open and
+    in a later document.  Of a seed dealt in two parts, the pairs between them."""
     size = stop - start
     few = np.flatnonzero((size <= FEW) & (size > 1))
     mine = _ranges(start[few], size[few])
@@ -331,30 +333,110 @@ def _matching(words: np.ndarray, doc: np.ndarray, part: np.ndarray, open_: np.nd
         some = rank >= shift
         rank, of = rank[some], of[some]
         i = of[open_[of]]
-        i = i[fit(i, i - shift)]
+        i = i[(doc[i - shift] < doc[i]) & ((part[i] < 0) | (part[i] != part[i - shift]))]
         for at in range(0, len(i), BLOCK):
             x = i[at : at + BLOCK]
             same = np.zeros(len(x), np.uint8)
             for w in words:
                 same += w[x] == w[x - shift]
-            hit = x[same >= HALF]
+            hit = np.flatnonzero(same >= HALF)
             if len(hit):
-                yield hit, hit - shift
+                yield x[hit], x[hit] - shift, same[hit]
     for s, e in zip(start[size > FEW].tolist(), stop[size > FEW].tolist(), strict=True):
-        rows = s + np.flatnonzero(open_[s:e])
-        for k in range(0, len(rows), 64):
-            x = rows[k : k + 64]
-            top = s + int(np.searchsorted(doc[s:e], doc[x[-1]]))
-            for q in range(s, top, BLOCK // 64):
-                y = slice(q, min(q + BLOCK // 64, top))
-                same = np.zeros((len(x), y.stop - q), np.uint8)
-                for w in words:
-                    same += w[x, None] == w[None, y]
-                i, j = np.nonzero(same >= HALF)
-                i, j = x[i], q + j
-                good = fit(i, j)
+        every = np.arange(s, e)
+        sides = [(every, every)] if part[s] < 0 else [(every[part[s:e] == p], every[part[s:e] != p]) for p in np.unique(part[s:e]).tolist()]
+        for one, other in sides:
+            for i, j, same in _alike(words, one[open_[one]], other):
+                good = doc[j] < doc[i]
                 if good.any():
-                    yield i[good], j[good]
+                    yield i[good], j[good], same[good]
+
+
+def _alike(words: np.ndarray, one: np.ndarray, other: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    """Pairs (i of one, j of other, words in common), j < i, of HALF words in common
+    or more.  Where few places share a word it is looked up who does; where
+    many do, all are compared."""
+    if not len(one) or not len(other):
+        return
+    n, w = len(other), words[:, other]
+    order = np.argsort(w, 1, kind="stable")
+    w_sorted = np.take_along_axis(w, order, 1)
+    new = np.concatenate([np.ones((len(w), 1), bool), w_sorted[:, 1:] != w_sorted[:, :-1]], 1)
+    shared = np.array([(np.diff(np.append(np.flatnonzero(x), n)).astype(np.float64) ** 2).sum() for x in new])
+    const = (w == w[:, :1]).all(1) & (words[:, one] == w[:, :1]).all(1)
+    dense, rare = np.flatnonzero((shared > n * n / DENSE) & ~const), np.flatnonzero((shared <= n * n / DENSE) & ~const)
+    # places of other by (word, place), of all rare columns one after another
+    order = order[rare].astype(np.int32).ravel()
+    key = w_sorted[rare]
+    begin, stop = (np.stack([np.searchsorted(k, words[t, one], side) for k, t in zip(key, rare.tolist(), strict=True)]) if len(rare) else np.zeros((0, len(one)), np.int64) for side in ("left", "right"))
+    base = np.arange(len(rare))[:, None] * n
+    before = np.searchsorted(other, one)  # those of other that come earlier
+    rows = max(1, BLOCK // n)
+    for k in range(0, len(one), rows):
+        x = one[k : k + rows]
+        top = int(before[k + len(x) - 1])
+        if not top:
+            continue
+        same = np.full((len(x), n), const.sum(), np.uint8)
+        for t in dense.tolist():
+            same[:, :top] += words[t, x][:, None] == w[t, None, :top]
+        lo, hi = (z[:, k : k + len(x)] for z in (begin, stop))
+        at = order[_ranges((lo + base).ravel(), (hi - lo).ravel())]
+        at = at + np.repeat(np.tile(np.arange(len(x)) * n, len(rare)), (hi - lo).ravel())
+        np.add.at(same.reshape(-1), at, np.uint8(1))
+        hit = np.flatnonzero(same >= HALF)
+        i, j = hit // n, hit % n
+        good = j < before[k + i]
+        yield x[i[good]], other[j[good]], same.reshape(-1)[hit[good]]
+
+
+class Nearby:
+    """Which words stand around each place on either side, by BITS bits."""
+
+    def __init__(self, around: np.ndarray):
+        self.sides = []
+        for near, all_ in ((slice(SIDE - 1, SIDE - REACH - 1, -1), slice(0, SIDE)), (slice(SIDE + K, SIDE + K + REACH), slice(SIDE + K, None))):
+            word = np.ascontiguousarray(around[near].T) % BITS
+            held = np.zeros((around.shape[1], BITS // 8), np.uint8)
+            for s in range(0, len(held), 4096):
+                has = np.zeros((len(held[s : s + 4096]), BITS), bool)
+                has[np.arange(len(has)), around[all_, s : s + 4096] % BITS] = True
+                held[s : s + 4096] = np.packbits(has, 1, bitorder="little")
+            self.sides.append(((word >> 3).astype(np.uint8), np.uint8(1) << (word & 7).astype(np.uint8), held.ravel()))
+
+    def may_bend(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Whether _bent may find a passage: its scores are at most those where a
+        word of i counts as matched if j has it anywhere on that side."""
+        hits = []
+        for byte, bit, held in self.sides:
+            hits.append((held[(j * (BITS // 8))[:, None] + byte[i]] & bit[i]) != 0)
+        total = sum(np.bitwise_count(h.view(np.uint64)).sum(1, dtype=np.int16) for h in hits)
+        # MIN_WORDS words with LEAST_SCORE have so many beside the seed, and what reaches beyond has more
+        some = np.flatnonzero(total >= LEAST_MATCHED - K)
+        left, right = (np.zeros((REACH + 1, len(some)), np.int8) for _ in range(2))
+        for acc, h in ((left, hits[0]), (right, hits[1])):
+            step = np.ascontiguousarray(h[some].T).view(np.int8) * np.int8(1 - MISS) + np.int8(MISS)
+            for t in range(REACH):
+                np.add(acc[t], step[t], out=acc[t + 1])
+        beyond = np.maximum(left.max(0, initial=-100) + right[-1].astype(np.int16), left[-1].astype(np.int16) + right.max(0, initial=-100)) >= -K
+        later = np.maximum.accumulate(right[::-1], 0)[::-1]
+        need = np.maximum(0, MIN_WORDS - K - np.arange(REACH + 1))
+        fits = (left + later[need] >= LEAST_SCORE - K).any(0)
+        out = np.zeros(len(i), bool)
+        out[some] = beyond | fits
+        return out
+
+
+def _hopeful(pairs: Iterator[tuple[np.ndarray, ...]], nearby: Nearby, n: int = 4096) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Those pairs (i, j) that may hold a passage, on the diagonal or off it."""
+    for i, j, same in pairs:
+        for k in range(0, len(i), n):
+            x, y = i[k : k + n], j[k : k + n]
+            good = same[k : k + n] >= LEAST_MATCHED
+            rest = np.flatnonzero(~good)
+            good[rest] = nearby.may_bend(x[rest], y[rest])
+            if good.any():
+                yield x[good], y[good]
 
 
 def _some(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -457,39 +539,40 @@ def _rest_links(rest: DataFrame, joined: DataFrame, words: Callable[[DataFrame],
     many = stored(requests.groupBy("src").count().where(F.col("count") > LARGE).select(F.col("src").alias("__src"), F.ceil(F.col("count") / (LARGE // 2)).cast("int").alias("__parts")), "many")
     none = F.lit(-1)
     if many.isEmpty():
-        dealt = cut.withColumns({"part": none, "i": none, "j": none})
+        dealt = cut.withColumns({"sub": none, "part": none, "i": none, "j": none})
     else:
-        part = F.pmod(F.xxhash64("doc_id"), F.col("__parts")).cast("int")
-        dealt = cut.join(sized(many), F.col("hash") == F.col("__src"), "left").withColumn("part", F.coalesce(part, none))
+        sub = F.pmod(F.xxhash64("doc_id"), F.col("__parts")).cast("int")
+        each = lambda x: F.floor(x / TOGETHER).cast("int")
+        dealt = cut.join(sized(many), F.col("hash") == F.col("__src"), "left").withColumn("sub", F.coalesce(sub, none)).withColumn("part", each(F.col("sub")))
         # a part meets itself, with no part named, and every other
-        dealt = dealt.withColumn("other", F.explode(F.when(F.col("part") < 0, F.array(none)).otherwise(F.sequence(F.lit(0), F.col("__parts") - 1))))
+        dealt = dealt.withColumn("other", F.explode(F.when(F.col("part") < 0, F.array(none)).otherwise(F.sequence(F.lit(0), each(F.col("__parts") - 1)))))
         dealt = dealt.withColumns({"i": F.least("part", "other"), "j": F.greatest("part", "other")}).withColumn("part", F.when(F.col("i") == F.col("j"), -1).otherwise(F.col("part")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for table in whole_groups(batches, "group"):
+        for table in whole_groups(batches, "group", 2 * LARGE):
             table = table.combine_chunks()
-            doc, b, open_, part = (table[c].to_numpy() for c in ("doc_id", "b", "open", "part"))
+            doc, b, open_, part, sub = (table[c].to_numpy() for c in ("doc_id", "b", "open", "part", "sub"))
             group = table["group"].to_numpy()
             texts, at = _flat(table["words"], np.uint16)
             around = _around(texts, at, np.minimum(b, SIDE))
             left, right = -np.minimum(b, SIDE), np.diff(at) - np.minimum(b, SIDE)  # words there are, from the place
-            near = slice(SIDE - REACH, SIDE + K + REACH)
+            near, nearby = slice(SIDE - REACH, SIDE + K + REACH), Nearby(around)
             start = np.flatnonzero(np.r_[True, group[1:] != group[:-1]])
             found: list[np.ndarray] = []
-            for i, j in _some(_matching(around[near], doc, part, open_ == 1, start, np.append(start[1:], len(group)))):
+            for i, j in _some(_hopeful(_matching(around[near], doc, part, open_ == 1, start, np.append(start[1:], len(group))), nearby)):
                 one, other = around[:, i], around[:, j]
                 first, end = _on_diagonal((one[near] == other[near]).T)
                 good = np.flatnonzero(end)
-                found.append(np.stack([i[good], first[good], end[good], j[good]]))
+                found.append(np.stack([i[good], first[good], end[good], sub[j[good]], j[good]]))
                 bent = np.flatnonzero(end == 0)
                 if len(bent):
                     before, after, good = _bent(one[:, bent], other[:, bent])
                     bent, before, after = (z[good == 1] for z in (bent, before, after))
-                    found.append(np.stack([i[bent], -1 - before, after, j[bent]]))
+                    found.append(np.stack([i[bent], -1 - before, after, sub[j[bent]], j[bent]]))
                 if sum(f.shape[1] for f in found) > BLOCK:
                     found = [_least(np.concatenate(found, 1))]
             if found:
-                i, first, _, j = _least(np.concatenate(found, 1))
+                i, first, _, _, j = _least(np.concatenate(found, 1))
                 turn = np.flatnonzero(first < 0)
                 bends = [_bends(around[:, i[t]], around[:, j[t]]) + np.array([[k], [0], [0]]) for k, t in ((k, turn[k : k + 256]) for k in range(0, len(turn), 256))]
                 t, p, q = np.concatenate([np.zeros((3, 0), np.int64), *bends], 1)
@@ -500,14 +583,14 @@ def _rest_links(rest: DataFrame, joined: DataFrame, words: Callable[[DataFrame],
                 if len(i):
                     yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], _names(_PAIR))
 
-    dealt = dealt.select(F.xxhash64("hash", "i", "j").alias("group"), "doc_id", "b", "open", "part", "words")
+    dealt = dealt.select(F.xxhash64("hash", "i", "j").alias("group"), "doc_id", "b", "open", "part", "sub", "words")
     return dealt.repartition(n, "group").sortWithinPartitions("group", "doc_id", "b").mapInArrow(run, _PAIR)
 
 
 def _least(found: np.ndarray) -> np.ndarray:
-    """Of columns (i, first, end, j), for each of the first three the least j; j follow the documents."""
+    """Of columns (i, first, end, part of j, j), for each of the first four the least j; j follow the documents."""
     found = found[:, np.lexsort(found[::-1])]
-    return found[:, np.r_[True, (found[:3, 1:] != found[:3, :-1]).any(0)]] if found.shape[1] else found
+    return found[:, np.r_[True, (found[:4, 1:] != found[:4, :-1]).any(0)]] if found.shape[1] else found
 
 
 def _binary(flat: np.ndarray, size: np.ndarray) -> pa.Array:

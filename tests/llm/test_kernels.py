@@ -95,6 +95,57 @@ def test_two_stage_order_is_that_of_plain_sorting():
                 assert c == shared[i]
 
 
+def places_of_a_line(n):
+    """Words around n places of one line of 14 words, and for the last tenth the place whose edited copy it is."""
+    rng = np.random.default_rng(5)
+    wide, here = 2 * chaining.SIDE + chaining.K, chaining.SIDE - 4
+    common = np.where(rng.random((wide, n)) < 0.6, rng.zipf(1.3, (wide, n)) % 300, rng.integers(300, 60_000, (wide, n)))
+    words = common.astype(np.uint16)
+    words[here : here + 14] = np.arange(61_000, 61_014)[:, None]
+    for i in range(n - n // 10, n):
+        j = i - n // 2
+        words[here - 20 : here, i] = words[here - 20 : here, j]
+        moved = i % 4  # words put in after the line
+        words[here + 14 + moved : here + 44 + moved, i] = words[here + 14 : here + 44, j]
+        words[rng.integers(here - 20, here + 44, 3), i] = 62_000
+    return words
+
+
+@pytest.mark.parametrize("parts", [1, 2])
+def test_pairs_that_may_hold_a_passage_are_all_that_do(parts):
+    words, n = places_of_a_line(400), 400
+    near = slice(chaining.SIDE - chaining.REACH, chaining.SIDE + chaining.K + chaining.REACH)
+    doc, part, open_ = np.arange(n) // 2, np.full(n, -1) if parts == 1 else np.arange(n) * 3 // n % 2, np.arange(n) % 7 > 0
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(n), np.arange(n), indexing="ij"))
+    alike = (doc[j] < doc[i]) & open_[i] & ((part[i] < 0) | (part[i] != part[j]))
+    i, j = i[alike], j[alike]
+    same = np.concatenate([(words[near][:, i[k : k + 4096]] == words[near][:, j[k : k + 4096]]).sum(0) for k in range(0, len(i), 4096)])
+    i, j, same = (x[same >= chaining.HALF] for x in (i, j, same))
+    pairs = list(chaining._matching(words[near], doc, part, open_, np.array([0]), np.array([n])))
+    got = np.concatenate([np.stack(x) for x in pairs], 1)
+    assert sorted(zip(*got.tolist(), strict=True)) == sorted(zip(i.tolist(), j.tolist(), same.tolist(), strict=True))
+
+    def holding(i, j):
+        good = chaining._on_diagonal((words[near][:, i] == words[near][:, j]).T)[1] > 0
+        good |= chaining._bent(words[:, i], words[:, j])[2] == 1
+        return set(zip(i[good].tolist(), j[good].tolist(), strict=True))
+
+    kept = [np.concatenate(x) for x in zip(*chaining._hopeful(iter(pairs), chaining.Nearby(words)), strict=True)]
+    want = holding(i, j)
+    assert holding(*kept) == want and len(want) > 20
+    assert len(kept[0]) < len(i) / 4
+
+
+def test_pairs_of_places_of_a_line_cost_little_each():
+    words, n = places_of_a_line(1500), 1500
+    near = slice(chaining.SIDE - chaining.REACH, chaining.SIDE + chaining.K + chaining.REACH)
+    began = time.thread_time()
+    pairs = list(chaining._matching(words[near], np.arange(n), np.full(n, -1), np.ones(n, bool), np.array([0]), np.array([n])))
+    alike, kept = sum(len(x[0]) for x in pairs), sum(len(x) for x, _ in chaining._hopeful(iter(pairs), chaining.Nearby(words)))
+    took = time.thread_time() - began
+    assert kept < alike / 4 and took < 120e-9 * n * (n - 1) / 2 + 6e-6 * alike
+
+
 def test_fenwick_chain_is_the_best_by_brute_force():
     rng = random.Random(2)
     for _ in range(60):
