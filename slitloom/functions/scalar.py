@@ -13,6 +13,15 @@ def clamp(v: Column, low: float, high: float) -> Column:
     return F.least(F.greatest(v, F.lit(float(low))), F.lit(float(high)))
 
 
+def rounded(v: Column, digits: int) -> Column:
+    """v to `digits` places as SQL engines of binary numbers round it: half away
+    from 0 of v * 10^digits.  F.round takes the shortest decimal form of v, and so
+    differs where that ends in 5 and the product falls beside the half."""
+    scale = 10.0**digits
+    out = F.round(v * scale) / scale
+    return F.when(F.abs(out) < math.inf, out).otherwise(v)
+
+
 def smoothstep(v: Column, low: float, high: float) -> Column:
     t = clamp((v - low) / (high - low), 0, 1)
     return t * t * (3 - 2 * t)

@@ -55,7 +55,7 @@ def flux(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _round(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
-    return df.withColumns({n: F.round(n, digits) for n in names})
+    return df.withColumns({n: S.rounded(F.col(n), digits) for n in names})
 
 
 @query(f"with {_GRID} select x, y, round(v, 6) as v, n from grid")
@@ -169,7 +169,7 @@ def local_minima_lines(spark, sf_dir):
 )
 def nearest_within_tolerance(spark, sf_dir):
     left = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.col("p_retailprice").alias("pos"))
-    right = load(spark, sf_dir, "customer").where("c_acctbal > 0").select(F.round(F.col("c_acctbal") / 10, 1).alias("place")).distinct()
+    right = load(spark, sf_dir, "customer").where("c_acctbal > 0").select(S.rounded(F.col("c_acctbal") / 10, 1).alias("place")).distinct()
     return _round(L.nearest_within(left, right, "k", "pos", "place", 0.5).select("k", "pos", "place", "distance"), "distance")
 
 
@@ -254,7 +254,7 @@ def evidence_gate(spark, sf_dir):
 def min_hold_history(spark, sf_dir):
     e = load(spark, sf_dir, "events").select("event_id", "user_id", "value")
     out = R.running_hold(e, "value", F.col("value") > 5, "event_id", ["user_id"])
-    return out.select("event_id", "user_id", "held", "n_recent", F.round(F.col("mean_recent") * F.col("n_recent"), 2).alias("sum_recent"))
+    return out.select("event_id", "user_id", "held", "n_recent", S.rounded(F.col("mean_recent") * F.col("n_recent"), 2).alias("sum_recent"))
 
 
 @query(
@@ -293,7 +293,7 @@ def row_transpose(spark, sf_dir):
 @query("select l_orderkey, l_linenumber, round(2 / 1.2 * sqrt(1.2 * l_extendedprice + 0.375 * 1.44 + 484), 6) as transformed, round(l_extendedprice, 3) as back from lineitem")
 def anscombe_roundtrip(spark, sf_dir):
     t = S.anscombe(F.col("l_extendedprice"), 1.2, 22.0)
-    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(t, 6).alias("transformed"), F.round(S.anscombe_inverse(t, 1.2, 22.0), 3).alias("back"))
+    return load(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", S.rounded(t, 6).alias("transformed"), S.rounded(S.anscombe_inverse(t, 1.2, 22.0), 3).alias("back"))
 
 
 @query(
@@ -309,13 +309,13 @@ def scalar_functions(spark, sf_dir):
     return t.select(
         "l_orderkey",
         "l_linenumber",
-        F.round(r, 6).alias("red"),
-        F.round(g, 6).alias("green"),
-        F.round(b, 6).alias("blue"),
-        (F.round(S.lanczos3(z), 6) + 0.0).alias("lanczos"),
-        F.round(S.polyval([1, 0.5, -0.25], z), 6).alias("poly"),
-        F.round(S.deadband(z, 0.04), 6).alias("dead"),
-        F.round(S.wrap_degrees(F.col("a") * 90), 6).alias("angle"),
+        S.rounded(r, 6).alias("red"),
+        S.rounded(g, 6).alias("green"),
+        S.rounded(b, 6).alias("blue"),
+        (S.rounded(S.lanczos3(z), 6) + 0.0).alias("lanczos"),
+        S.rounded(S.polyval([1, 0.5, -0.25], z), 6).alias("poly"),
+        S.rounded(S.deadband(z, 0.04), 6).alias("dead"),
+        S.rounded(S.wrap_degrees(F.col("a") * 90), 6).alias("angle"),
         S.quantise16(z / 2, F.lit(-1.5), F.lit(1.5)).alias("code"),
     )
 
@@ -325,12 +325,12 @@ def parabola_vertex(spark, sf_dir):
     w = R.along(["l_orderkey"], "l_linenumber")
     one = load(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.sum("l_quantity").alias("l_quantity"))
     p = one.select("l_orderkey", "l_linenumber", F.col("l_quantity").alias("b"), F.lag("l_quantity").over(w).alias("a"), F.lead("l_quantity").over(w).alias("c")).where("a is not null and c is not null")
-    return p.select("l_orderkey", "l_linenumber", F.round(S.parabola_vertex(F.col("a"), F.col("b"), F.col("c"), 0.75), 6).alias("vertex"))
+    return p.select("l_orderkey", "l_linenumber", S.rounded(S.parabola_vertex(F.col("a"), F.col("b"), F.col("c"), 0.75), 6).alias("vertex"))
 
 
 @query("with e as (select unnest(range(1, 65)) - 1 as i, embedding from embeddings), a as (select i, embedding[i + 1]::double as p, embedding from e), b as (select i, p, unnest(range(0, 64)) as j, embedding from a) select cast(i as int) as i, cast(j as int) as j, round(avg(p * embedding[j + 1]::double) - avg(p) * avg(embedding[j + 1]::double), 6) + 0.0 as cov from b where j >= i group by i, j")
 def embedding_covariance(spark, sf_dir):
-    return I.covariance(load(spark, sf_dir, "embeddings"), "embedding").select("i", "j", (F.round("cov", 6) + 0.0).alias("cov"))
+    return I.covariance(load(spark, sf_dir, "embeddings"), "embedding").select("i", "j", (S.rounded(F.col("cov"), 6) + 0.0).alias("cov"))
 
 
 @query(
@@ -396,10 +396,10 @@ def bright_frame_mean(spark, sf_dir):
 @query(f"with {_GRID}, s as (select x, y, v, lag(v, 2) over w as m1, lead(v, 2) over w as p1, lag(v, 4) over w as m2, lead(v, 4) over w as p2 from grid window w as (partition by y order by x)) select x, y, round(m2 + p2 - 4 * (m1 + p1) + 6 * v, 5) as bend from s where m2 is not null and p2 is not null")
 def five_point_stencil(spark, sf_dir):
     s = R.stencil(grid(spark, sf_dir), "v", "x", 2, ["y"]).where("m2 is not null and p2 is not null")
-    return s.select("x", "y", F.round(F.col("m2") + F.col("p2") - 4 * (F.col("m1") + F.col("p1")) + 6 * F.col("v"), 5).alias("bend"))
+    return s.select("x", "y", S.rounded(F.col("m2") + F.col("p2") - 4 * (F.col("m1") + F.col("p1")) + 6 * F.col("v"), 5).alias("bend"))
 
 
 @query("with p as (select o_orderkey as k, o_totalprice / 1000 - 200 as x, (o_orderkey % 1000) / 2.5 - 200 as y from orders) select k, round(abs(x * x + 0.5 * x * y + 2 * y * y - 10 * x + 4 * y - 9000) / sqrt(pow(2 * x + 0.5 * y - 10, 2) + pow(0.5 * x + 4 * y + 4, 2)), 6) as distance from p")
 def conic_distance(spark, sf_dir):
     p = load(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), (F.col("o_totalprice") / 1000 - 200).alias("x"), ((F.col("o_orderkey") % 1000) / 2.5 - 200).alias("y"))
-    return p.select("k", F.round(S.sampson(F.col("x"), F.col("y"), [1, 0.5, 2, -10, 4, -9000]), 6).alias("distance"))
+    return p.select("k", S.rounded(S.sampson(F.col("x"), F.col("y"), [1, 0.5, 2, -10, 4, -9000]), 6).alias("distance"))

@@ -3,6 +3,8 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -107,3 +109,18 @@ def test_global_percentiles_with_ties_and_nulls(spark):
     got = {r["p"]: r["v"] for r in Q.global_nearest_rank(df, "v", [0, 50, 75, 100]).collect()}
     assert got == {0.0: 1.0, 50.0: 2.0, 75.0: 2.0, 100.0: 5.0}
     assert Q.global_nearest_rank(df.where(F.lit(False)), "v", [50]).collect() == []
+
+
+@pytest.mark.parametrize("name", ["row_transpose", "frame_grid_mean"])
+def test_means_that_end_in_5_round_as_in_the_sql(spark, tmp_path, name):
+    rng = random.Random(3)
+    at = np.datetime64("2024-01-01T00:00:00", "us")
+    rows = [(16 * x + y, at + np.timedelta64(x, "h"), y, (rng.randrange(10**9) * 10 + 5) / 1e7) for x in range(40) for y in range(16)]
+    ids, ts, users, values = zip(*rows, strict=True)
+    pq.write_table(pa.table({"event_id": ids, "ts": pa.array(ts, pa.timestamp("us")), "user_id": users, "value": values}), tmp_path / "events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    rel = con.sql(entry.oracle_sql()[name])
+    want = sorted(rel.fetchall())
+    got = entry.queries()[name](spark, str(tmp_path)).select(*rel.columns).collect()
+    assert sorted(tuple(r) for r in got) == want
