@@ -2,24 +2,58 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+#: Rows that a task of nearest_within gets, about.
+ROWS = 250_000
+
+
 def nearest_within(left: DataFrame, right: DataFrame, key: str, at: str, place: str, tolerance: float, rank: Sequence[str | Column] = (), carry: Sequence[str] = ()) -> DataFrame:
     """Each left row (named by `key`, at `at`) with the nearest right row within
-    `tolerance` of it, first by `rank` among equals; left rows without one drop out.
-
-    Both sides are spread over cells of the tolerance's width and joined on the
-    cell, so the work is linear in rows unless a cell itself is crowded."""
-    cell = F.floor(F.col(at) / tolerance)
-    spread = left.withColumn("_cell", F.explode(F.array(cell - 1, cell, cell + 1)))
-    other = right.select(F.floor(F.col(place) / tolerance).alias("_cell"), F.col(place).alias("_place"), *carry)
-    close = spread.join(other, "_cell").withColumn("_d", F.abs(F.col(at) - F.col("_place"))).where(F.col("_d") <= tolerance)
+    `tolerance` of it, first by `rank` (of what right carries) among equals; left
+    rows without one drop out.
+
+    Of right only the first row of each place counts, and of left the distinct
+    places are looked up: in cells of four tolerances the nearest place below and
+    above is the last one seen in either order, so that no place is paired with
+    all that are close to it.  What is found is joined to left by its place."""
+    kind = left.select(at).union(right.select(place)).schema[0].dataType  # the wider of both
+    parts = -(-(left.count() + right.count()) // ROWS) or 1
+
+    def cell(v: Column) -> Column:
+        return F.floor(v / (4 * tolerance))
+
+    finite = F.abs(F.col("_at").cast("double")) < math.inf  # not null, nor nan
+    left = left.withColumn("_at", F.col(at).cast(kind)).where(finite)
+    places = right.select(F.col(place).cast(kind).alias("_at"), F.col(place).alias("_place"), *carry).where(finite)
+    if rank:
+        places = places.withColumn("_rn", F.row_number().over(Window.partitionBy("_at").orderBy(*rank))).where("_rn = 1").drop("_rn")
+    else:
+        places = places.dropDuplicates(["_at"])
+    reach = 1.001 * tolerance  # beyond the rounding of a quotient
+    cells = F.array_distinct(F.array(*(cell(F.col("_at") + d) for d in (-reach, 0.0, reach))))
+    places = places.select(F.explode(cells).alias("_cell"), "_at", F.lit(0).alias("_side"), F.struct("_place", *carry).alias("_found"))
+    asked = left.select("_at").distinct().select(cell(F.col("_at")).alias("_cell"), "_at", F.lit(1).alias("_side"))
+    points = asked.unionByName(places, allowMissingColumns=True).repartition(parts, "_cell")
+    for name, order in (("_below", F.col("_at").asc()), ("_above", F.col("_at").desc())):
+        seen = Window.partitionBy("_cell").orderBy(order, "_side").rowsBetween(Window.unboundedPreceding, 0)
+        points = points.withColumn(name, F.last("_found", ignorenulls=True).over(seen))
+
+    def off(found: str) -> Column:
+        return F.abs(F.col("_at") - F.col(found)["_place"])
+
+    near = F.when(off("_above") < off("_below"), F.array("_above")).when((off("_above") == off("_below")) & (F.col("_above")["_place"] != F.col("_below")["_place"]), F.array("_below", "_above")).otherwise(F.array(F.coalesce("_below", "_above")))
+    found = points.where("_side = 1").select("_at", F.explode(near).alias("_found")).where(off("_found") <= tolerance)
+    close = left.repartition(parts, "_at").join(found.repartition(parts, "_at").hint("shuffle_hash"), "_at").select(*(c for c in left.columns if c != "_at"), "_found.*")
+    close = close.withColumn("_d", F.abs(F.col(at) - F.col("_place")))
     w = Window.partitionBy(key).orderBy("_d", *rank, "_place")
-    return close.withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn", "_cell").withColumnRenamed("_place", place).withColumnRenamed("_d", "distance")
+    one = close.repartition(parts, key).withColumn("_rn", F.row_number().over(w)).where("_rn = 1").drop("_rn")
+    return one.withColumnRenamed("_place", place).withColumnRenamed("_d", "distance")
 
 
 def as_of_nearest(left: DataFrame, right: DataFrame, key: str, at: str, stamp: str, listing: str, limit: float, carry: Sequence[str] = ()) -> DataFrame:

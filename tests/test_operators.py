@@ -124,3 +124,36 @@ def test_means_that_end_in_5_round_as_in_the_sql(spark, tmp_path, name):
     want = sorted(rel.fetchall())
     got = entry.queries()[name](spark, str(tmp_path)).select(*rel.columns).collect()
     assert sorted(tuple(r) for r in got) == want
+
+
+def peak_memory(spark, run):
+    """What run() gives, and the execution memory of its stages (bytes, all tasks of the largest)."""
+    sc = spark.sparkContext
+    sc.setJobGroup(group := f"peak-{random.random()}", "")
+    out = run()
+    store, tracker = sc._jsc.sc().statusStore(), sc.statusTracker()
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    stages = {s for j in tracker.getJobIdsForGroup(group) for s in tracker.getJobInfo(j).stageIds}
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    return out, max(store.lastStageAttempt(s).peakExecutionMemory() for s in stages)
+
+
+def test_nearest_within_crowded_cells_pairs_none(spark):
+    rng = random.Random(4)
+    left, right = [(i, rng.uniform(0, 0.5)) for i in range(4000)], sorted(rng.uniform(0, 0.5) for _ in range(4000))
+    df, places = spark.createDataFrame(left, "k int, at double"), spark.createDataFrame([(p,) for p in right], "place double")
+    got, peak = peak_memory(spark, lambda: {r["k"]: r["place"] for r in L.nearest_within(df, places, "k", "at", "place", 0.5).collect()})
+    r = np.array(right)
+    assert got == {k: float(r[np.abs(r - v).argmin()]) for k, v in left}
+    assert peak < 300e6  # 16 M pairs took over 1 GB
+
+
+def test_nearest_within_odd_places(spark):
+    nan, inf = float("nan"), float("inf")
+    left = spark.createDataFrame([(0, 0.3), (1, None), (2, nan), (3, inf), (4, -inf), (5, 1e300), (6, -0.0), (7, 0.55)], "k int, at double")
+    right = spark.createDataFrame([(0.39999999999999997,), (None,), (nan,), (inf,), (1e300,), (0.0,), (0.5,), (0.6,), (0.5,)], "place double")
+    got = {r["k"]: r["place"] for r in L.nearest_within(left, right, "k", "at", "place", 0.1).collect()}
+    assert got == {0: 0.39999999999999997, 5: 1e300, 6: 0.0, 7: 0.6 if abs(0.55 - 0.6) < abs(0.55 - 0.5) else 0.5}
+    whole = spark.createDataFrame([(0, 10), (1, 11), (2, 13)], "k int, at int")
+    got = {r["k"]: r["place"] for r in L.nearest_within(whole, spark.createDataFrame([(10.5,), (13.5,)], "place double"), "k", "at", "place", 1).collect()}
+    assert got == {0: 10.5, 1: 10.5, 2: 13.5}
