@@ -148,6 +148,23 @@ def test_nearest_within_crowded_cells_pairs_none(spark):
     assert peak < 300e6  # 16 M pairs took over 1 GB
 
 
+def test_as_of_takes_the_first_listed_of_crowded_stamps(spark):
+    rng = random.Random(5)
+    scans = [(i % 3000, rng.randrange(3000)) for i in range(4000)]  # some names twice
+    refs = [(f"l{i:05d}", rng.randrange(0, 6000, 7), f"p{i}") for i in range(4000)]
+    rng.shuffle(refs)
+    df, references = spark.createDataFrame(scans, "k int, at bigint"), spark.createDataFrame(refs, "listing string, stamp bigint, path string")
+    got, peak = peak_memory(spark, lambda: {r["k"]: (r["distance"], r["listing"], r["stamp"], r["path"]) for r in L.as_of_nearest(df, references, "k", "at", "stamp", "listing", 600, carry=["path"]).collect()})
+    at, name = np.array([s for _, s, _ in refs]), np.array([n for n, _, _ in refs])
+    want = {}
+    for k, v in scans:
+        d = np.abs(at - v)
+        i = min(np.flatnonzero(d == d.min()), key=lambda i: name[i])
+        want[k] = min(want.get(k, (10**9, "", 0, "")), (int(d[i]), *refs[i]))
+    assert got == want
+    assert peak < 300e6
+
+
 def test_nearest_within_odd_places(spark):
     nan, inf = float("nan"), float("inf")
     left = spark.createDataFrame([(0, 0.3), (1, None), (2, nan), (3, inf), (4, -inf), (5, 1e300), (6, -0.0), (7, 0.55)], "k int, at double")
