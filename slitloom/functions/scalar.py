@@ -18,8 +18,7 @@ def rounded(v: Column, digits: int) -> Column:
     from 0 of v * 10^digits.  F.round takes the shortest decimal form of v, and so
     differs where that ends in 5 and the product falls beside the half."""
     scale = 10.0**digits
-    out = F.round(v * scale) / scale
-    return F.when(F.abs(out) < math.inf, out).otherwise(v)
+    return F.when(F.abs(v) < 1e308 / scale, F.round(v * scale) / scale).otherwise(v)
 
 
 def smoothstep(v: Column, low: float, high: float) -> Column:

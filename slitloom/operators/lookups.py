@@ -23,7 +23,7 @@ def nearest_within(left: DataFrame, right: DataFrame, key: str, at: str, place:
     above is the last one seen in either order, so that no place is paired with
     all that are close to it.  What is found is joined to left by its place."""
     kind = left.select(at).union(right.select(place)).schema[0].dataType  # the wider of both
-    parts = -(-(left.count() + right.count()) // ROWS) or 1
+    parts = -(-left.select(F.lit(1)).union(right.select(F.lit(1))).count() // ROWS) or 1
 
     def cell(v: Column) -> Column:
         return F.floor(v / (4 * tolerance))

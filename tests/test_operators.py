@@ -165,6 +165,19 @@ def test_as_of_takes_the_first_listed_of_crowded_stamps(spark):
     assert peak < 300e6
 
 
+@pytest.mark.parametrize("rows", [7, 150, 10**6])
+def test_nearest_within_is_the_same_in_any_number_of_parts(spark, monkeypatch, rows):
+    monkeypatch.setattr(L, "ROWS", rows)
+    rng = random.Random(6)
+    scans, refs = [(i % 130, rng.randrange(-900, 900)) for i in range(160)], [(i, rng.randrange(-90, 90) * 10) for i in range(140)]
+    df, references = spark.createDataFrame(scans, "k int, at int"), spark.createDataFrame(refs, "listing int, stamp bigint")
+    got = {r["k"]: (r["distance"], r["listing"], r["stamp"]) for r in L.as_of_nearest(df, references, "k", "at", "stamp", "listing", 9).collect()}
+    want = {}
+    for k, v in scans:
+        want[k] = min([(abs(v - s), i, s) for i, s in refs if abs(v - s) <= 9] + [want.get(k, (99,))])
+    assert got == {k: v for k, v in want.items() if v != (99,)}
+
+
 def test_nearest_within_odd_places(spark):
     nan, inf = float("nan"), float("inf")
     left = spark.createDataFrame([(0, 0.3), (1, None), (2, nan), (3, inf), (4, -inf), (5, 1e300), (6, -0.0), (7, 0.55)], "k int, at double")
